@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 # Look-alike letters (Unicode confusables), foreign letter followed by the Latin letter it resembles.
 LOOKALIKES = (
     "аa еe оo рp сc уy хx іi јj ѕs ԁd һh ӏl ԛq ԝw ѵv ɡg ɑa ɩi օo զq հh ոn ѡw "
-    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS Ԛ" "Q Ԝ" "W Ү" "Y "
+    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS ԚQ ԜW ҮY "
     "οo νv ρp ιi αa γy υu κk τt χx ϲc ϳj σo ωw "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX Ϲ" "C Ϳ" "J"
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ"
 ).split()
 # Ignorable characters outside category Cf.
 EXTRA_IGNORABLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0]

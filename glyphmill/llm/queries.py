@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .history import p3_found
+from .lookalike import p6_forms, p6_found
 from .near_copies import p4_found, p4_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_forms": p6_forms,
 }
 ORACLE: dict[str, str] = {}
