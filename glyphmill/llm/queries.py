@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .history import p3_found
 from .lookalike import p6_forms, p6_found
 from .near_copies import p4_found, p4_groups
+from .sentences import p9_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": p4_groups,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
+    "p9_found": p9_found,
 }
 ORACLE: dict[str, str] = {}
