@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .encoding import p7_ids
 from .history import p3_found
 from .lookalike import p6_forms, p6_found
 from .near_copies import p4_found, p4_groups
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": p4_groups,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
+    "p7_ids": p7_ids,
     "p9_found": p9_found,
 }
 ORACLE: dict[str, str] = {}
