@@ -25,7 +25,8 @@ SYMBOLS = SEGMENTS * WIDTH
 HEAVY = 2e-4  # share of the texts from which on a gram is boilerplate
 HEAVY_LEAST = 16
 CHUNK = 3_000_000  # grams counted at once
-SMALL_BUCKET = 12  # up to here all members meet; larger ones meet their representatives
+SMALL_BUCKET = 40  # up to here all members meet
+LEAST_SHARE = 6  # one in so many symbols has to agree before the wording is compared
 SIMILAR = 0.45
 LONG = 24
 
@@ -134,17 +135,34 @@ def fingerprints(rows: DataFrame, heavy: np.ndarray, extra: str = "") -> DataFra
     return rows.mapInPandas(task, f"id {kind}, class long, keys array<long>{extra}")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a < b: classes that meet in a table, with shared, the number of equal symbols seen."""
-    keyed = classes.select("class", F.explode("keys").alias("key")).repartition("key")
-    bucket = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("n > 1")
-    met = keyed.join(bucket, "key")
-    few = met.filter(F.col("n") <= SMALL_BUCKET).select("key", "class")
-    pairs = few.join(few.withColumnRenamed("class", "b"), "key").filter("class < b").select(F.col("class").alias("a"), "b")
-    many = met.filter(F.col("n") > SMALL_BUCKET)
-    star = many.select(F.explode(F.array("lo", "hi")).alias("r"), "class").filter("r != class")
-    star = star.select(F.least("r", "class").alias("a"), F.greatest("r", "class").alias("b"))
-    return pairs.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("shared"))
+def meeting(keyed: DataFrame) -> DataFrame:
+    """a < b, shared: pairs of classes of keyed(class, k, key) that share enough symbols; k is the number of symbols of a class.
+
+    All members of a bucket of up to SMALL_BUCKET classes meet. The rows of a larger one are keyed again by each pair of their symbols,
+    so that classes that share two symbols still meet; a bucket that stays large then holds copies, which meet its first and last class.
+    """
+    keyed = keyed.repartition("key")
+    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    few = met.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", "k")
+    many = met.filter(F.col("n") > SMALL_BUCKET).select("class").distinct()
+    own = keyed.join(many, "class", "left_semi")
+    big = met.filter(F.col("n") > SMALL_BUCKET).select("class", "k", "key")
+    double = big.join(own.select("class", F.col("key").alias("other")), "class").filter("key != other")
+    double = double.select("class", "k", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct().repartition("key")
+    two = double.join(double.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "k")).alias("lo"), F.max(F.struct("class", "k")).alias("hi")).filter("n > 1"), "key")
+    star = two.filter(F.col("n") > SMALL_BUCKET).select(F.explode(F.array("lo", "hi")).alias("r"), "class", "k").filter("r.class != class")
+    star = star.select(F.least("r.class", "class").alias("a"), F.greatest("r.class", "class").alias("b"), F.least("r.k", "k").alias("k"), F.lit(2).alias("s"))
+
+    def within(rows: DataFrame, s: int) -> DataFrame:
+        other = rows.select("key", F.col("class").alias("b"), F.col("k").alias("kb"))
+        return rows.join(other, "key").filter("class < b").select(F.col("class").alias("a"), "b", F.least("k", "kb").alias("k"), F.lit(s).alias("s"))
+
+    pairs = within(few, 1).unionByName(within(two.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", "k"), 2)).unionByName(star)
+    return pairs.groupBy("a", "b").agg(F.sum("s").alias("shared"), F.min("k").alias("k")).filter(F.col("shared") * LEAST_SHARE >= F.col("k")).select("a", "b", "shared")
+
+
+def keyed_of(classes: DataFrame) -> DataFrame:
+    return classes.select("class", F.size("keys").alias("k"), F.explode("keys").alias("key"))
 
 
 def wording(t: str) -> set:
@@ -169,12 +187,13 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, decide) -> D
     """Pairs whose wording passes decide(jaccard, containment, length ratio). classes: class, rep (the id whose text stands for it)."""
     pairs = materialise(pairs, "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("rep").alias("id")), "class")
-    texts = materialise(used.join(rows.select("id", "text"), "id").groupBy("class").agg(F.min("text").alias("text")), "texts")
+    level = F.pandas_udf(lambda t: t.map(levelled), "string")
+    texts = materialise(used.join(rows.select("id", "text"), "id").dropDuplicates(["class"]).select("class", level("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep = [decide(*agreement(levelled(x), levelled(y))) for x, y in zip(p["ta"], p["tb"])]
+            keep = [decide(*agreement(x, y)) for x, y in zip(p["ta"], p["tb"])]
             yield p.loc[np.array(keep, bool), ["a", "b"]]
 
     return both.select("a", "b", "ta", "tb").mapInPandas(task, "a long, b long")
@@ -202,7 +221,7 @@ def near_groups(rows: DataFrame, decide=None, extra: str = "") -> DataFrame:
     heavy, _ = count_heavy(rows)
     prints = materialise(fingerprints(rows, heavy, extra), "prints")
     classes = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    pairs = candidates(classes)
+    pairs = meeting(keyed_of(classes))
     links = verified(pairs, rows, classes, decide or (lambda j, c, r: j >= SIMILAR))
     comp = components(links)
     return prints.drop("keys").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
