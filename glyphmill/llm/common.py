@@ -30,9 +30,22 @@ IGNORABLE = {
     for c in r
     if unicodedata.category(chr(c)) == "Cf" or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF
 } | {0xAD, *EXTRA_IGNORABLE}
-_DROP = dict.fromkeys(IGNORABLE)
-_SKELETON = _DROP | PROTOTYPE
-_NONWORD = re.compile(r"[\W_]+")
+_DROP = re.compile(f"[{re.escape(''.join(map(chr, sorted(IGNORABLE))))}]+")
+_ALIKE = re.compile(f"[{''.join(map(chr, PROTOTYPE))}]")
+_SEPARATOR = "\ufdd0"
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    drop, alike, word = np.zeros(0x10000, bool), np.arange(0x10000, dtype=np.uint32), np.zeros(0x10000, bool)
+    drop[[c for c in IGNORABLE if c < 0x10000]] = True
+    for c, to in PROTOTYPE.items():
+        alike[c] = ord(to)
+    word[[m.start() for m in re.finditer(r"[^\W_]", "".join(map(chr, range(0x10000))))]] = True
+    word[ord(_SEPARATOR)] = False
+    return drop, alike, word
+
+
+_IS_DROP, _TO_ALIKE, _IS_WORD = _tables()
 
 
 def compat(text: str | None) -> str:
@@ -40,30 +53,60 @@ def compat(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_DROP)).translate(_DROP)
+        text = _DROP.sub("", unicodedata.normalize("NFKC", _DROP.sub("", text)))
     return " ".join(text.split())
 
 
 def skeleton(text: str | None) -> str:
     """compat() with every look-alike letter replaced by its prototype; case and marks stay."""
     text = compat(text)
-    return text if text.isascii() else text.translate(PROTOTYPE)
+    return text if text.isascii() or not _ALIKE.search(text) else text.translate(PROTOTYPE)
+
+
+def _without_ignorable(text: str) -> str:
+    cp = codepoints(text)
+    gone = _IS_DROP[np.minimum(cp, 0xFFFF)] & (cp < 0x10000) | (cp >= 0xE0000) & (cp < 0xE1000)
+    return text if not gone.any() else as_text(cp[~gone])
+
+
+def level_many(texts: list[str | None]) -> list[str]:
+    """Case-, punctuation-, spacing- and look-alike-free forms used to compare wording; '' for null. One pass over all texts."""
+    if not len(texts):
+        return []
+    clean = [t if t is not None and t == t and _SEPARATOR not in t else (t or "").replace(_SEPARATOR, "") if isinstance(t, str) else "" for t in texts]
+    t = _SEPARATOR.join(clean)
+    if not t.isascii():
+        t = _without_ignorable(unicodedata.normalize("NFKC", _without_ignorable(t)))
+    cp = codepoints(t.lower())
+    bmp = np.minimum(cp, 0xFFFF)
+    low = cp < 0x10000
+    word = _IS_WORD[bmp] & low
+    if not low.all():
+        high = np.unique(cp[~low])
+        word |= np.isin(cp, [c for c in high if chr(c).isalnum()])
+        alike = np.where(low, _TO_ALIKE[bmp], cp)
+    else:
+        alike = _TO_ALIKE[bmp]
+    cut = cp == ord(_SEPARATOR)
+    cp = np.where(word | cut, alike, np.uint32(32)).astype(np.uint32)
+    blank = cp == 32
+    edge = np.concatenate([[True], (blank | cut)[:-1]])
+    cp = cp[~(blank & edge)]
+    return [x[:-1] if x[-1:] == " " else x for x in as_text(cp).split(_SEPARATOR)]
 
 
 def levelled(text: str | None) -> str:
-    """Case-, punctuation- and look-alike-free form used to compare wording."""
-    if not text:
-        return ""
-    if text.isascii():
-        return _NONWORD.sub(" ", text.lower()).strip()
-    t = unicodedata.normalize("NFKC", text.translate(_DROP)).lower().translate(_SKELETON)
-    return _NONWORD.sub(" ", t).strip()
+    return level_many([text])[0]
 
 
 def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def as_text(cp: np.ndarray) -> str:
+    return cp.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

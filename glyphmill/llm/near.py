@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, levelled, materialise
+from .common import codepoints, level_many, materialise
 
 SEGMENTS, WIDTH = 6, 2
 SYMBOLS = SEGMENTS * WIDTH
@@ -79,7 +79,7 @@ def count_heavy(rows: DataFrame) -> tuple[np.ndarray, int]:
             return pd.DataFrame({"h": np.append(h[keep].view(np.int64), 0), "c": np.append(c[keep], texts)})
 
         for b in batches:
-            t = [levelled(x) for x in b["text"]]
+            t = level_many(list(b["text"]))
             if not t:
                 continue
             d, h = grams(t)
@@ -112,7 +112,7 @@ def fingerprints(rows: DataFrame, heavy: np.ndarray, extra: str = "") -> DataFra
         for b in batches:
             if not len(b):
                 continue
-            t = [levelled(x) for x in b["text"]]
+            t = level_many(list(b["text"]))
             d, h = grams(t)
             if len(heavy) and len(h):
                 at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, decide) -> D
     """Pairs whose wording passes decide(jaccard, containment, length ratio). classes: class, rep (the id whose text stands for it)."""
     pairs = materialise(pairs, "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("rep").alias("id")), "class")
-    level = F.pandas_udf(lambda t: t.map(levelled), "string")
+    level = F.pandas_udf(lambda t: pd.Series(level_many(list(t))), "string")
     texts = materialise(used.join(rows.select("id", "text"), "id").dropDuplicates(["class"]).select("class", level("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .encoding import p7_ids
 from .history import p3_found
+from .leakage import p8_found
 from .lookalike import p6_forms, p6_found
 from .near_copies import p4_found, p4_groups
 from .sentences import p9_found
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
     "p9_found": p9_found,
 }
 ORACLE: dict[str, str] = {}
