@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .encoding import p7_ids
 from .history import p3_found
+from .language import p5_found, p5_languages
 from .leakage import p8_found
 from .lookalike import p6_forms, p6_found
 from .near_copies import p4_found, p4_groups
@@ -17,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p7_ids": p7_ids,
