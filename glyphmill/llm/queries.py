@@ -12,9 +12,12 @@ from .language import p5_found, p5_languages
 from .leakage import p8_found
 from .lookalike import p6_forms, p6_found
 from .near_copies import p4_found, p4_groups
+from .personal import p2_found, p2_redacted
 from .sentences import p9_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
