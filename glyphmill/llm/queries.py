@@ -11,11 +11,15 @@ from .history import p3_found
 from .language import p5_found, p5_languages
 from .leakage import p8_found
 from .lookalike import p6_forms, p6_found
+from .moderation import p1_found, p1_rates, p1_scores
 from .near_copies import p4_found, p4_groups
 from .personal import p2_found, p2_redacted
 from .sentences import p9_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
+    "p1_scores": p1_scores,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
     "p3_found": p3_found,
