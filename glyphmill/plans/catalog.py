@@ -1,10 +1,531 @@
-"""Registry of the engine's own queries and their oracle SQL."""
+"""Registry of the engine's own queries, each over whole tables, and their oracle SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as L
+from ..functions import text as T
+from ..operators import annotate as A
+from ..operators import facts as K
+from ..operators import insights as I
+from ..operators import modes as M
+from ..operators import planning as P
+from ..operators import relevance as R
+from ..operators import store as U
+from ..operators import summaries as S
+from ..operators import telemetry as Y
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def d(x: str, n: int = 4) -> str:
+    """SQL of the rounding that text.rnd applies."""
+    return f"cast(round(cast({x} as decimal(18,6)),{n}) as double)"
+
+
+def words(x: str) -> str:
+    """SQL of text.ascii_tokens."""
+    return f"regexp_split_to_array(lower(coalesce({x},'')),'[^a-z0-9]+')"
+
+
+def quoted(terms: list[str]) -> str:
+    return ",".join(f"'{t}'" for t in terms)
+
+
+# --- shared relations -------------------------------------------------------------------------------------------------------------
+def orders_voice(spark, sf):
+    """Orders as dated voice rows: topic, source, time, negative."""
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderpriority").alias("topic"), F.col("c_mktsegment").alias("source"), F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") == "F").alias("negative"), "o_totalprice", "o_orderkey")
+
+
+ORDERS_VOICE = "select o_orderpriority topic, c_mktsegment source, o_orderdate tm, o_orderstatus='F' negative, o_totalprice, o_orderkey from orders join customer on o_custkey=c_custkey"
+
+
+def voices(spark, sf):
+    """Evidence texts with their annotation."""
+    e = load(spark, sf, "evidence").select("ingest_seq", "evidence_id", "source", "game_id", "relevance_label", F.get_json_object("payload_json", "$.original_text").alias("text"))
+    return A.annotate(e)
+
+
+_hits = {k: f"len(list_filter(toks, lambda t: t in ({quoted(v)})))" for k, v in sorted(L.TOPICS.items())}
+_distinct = lambda terms: f"len(list_intersect(toks, [{quoted(terms)}]))"
+VOICES = f"""
+with base as (select ingest_seq, evidence_id, source, game_id, relevance_label, json_extract_string(payload_json,'$.original_text') as txt from evidence),
+tok as (select *, {words('txt')} toks from base),
+cnt as (select *, list_sort(list_filter([{','.join("{'neg': -" + h + f", 'topic': '{k}'" + '}' for k, h in _hits.items())}], lambda x: x.neg < 0)) ranked,
+  {_distinct(L.POSITIVE)} pos, {_distinct(L.NEGATIVE)} neg, {_distinct(L.NEUTRAL)} neu from tok),
+voices as (select *, coalesce(ranked[1].topic,'unknown') as prim, coalesce(-ranked[1].neg,0) as hits,
+  case when pos>0 and neg>0 then 'mixed' when pos>0 then 'positive' when neg>0 then 'negative' when neu>0 then 'neutral' else 'unknown' end as sentiment from cnt)
+"""
+
+
+# --- summaries --------------------------------------------------------------------------------------------------------------------
+@query(f"""select source, count(*) records, min(epoch_us(updated_at)) first_us, max(epoch_us(updated_at)) last_us,
+ {d("sum(case when relevance_label='irrelevant' then 1 else 0 end)::double/count(*)")} negative_share, cast(sum(length(payload_json)) as bigint) engagement from evidence group by 1""")
+def source_summary(spark, sf):
+    return S.source_summary(load(spark, sf, "evidence"), ["source"], F.col("relevance_label") == "irrelevant", F.char_length("payload_json").cast("bigint"), "updated_at")
+
+
+@query(VOICES + f"select prim topic, source, count(*) records, {d('sum(case when sentiment=' + chr(39) + 'negative' + chr(39) + ' then 1 else 0 end)::double/count(*)')} negative_share from voices group by 1,2")
+def topic_by_source(spark, sf):
+    v = voices(spark, sf)
+    return v.groupBy(F.col("primary").alias("topic"), "source").agg(F.count("*").alias("records"), T.ratio(F.sum(F.when(F.col("sentiment") == "negative", 1).otherwise(0)), F.count("*")).alias("negative_share"))
+
+
+@query(f"""with v as ({ORDERS_VOICE}), a as (select max(tm) anchor from v),
+p as (select v.*, case when tm>=anchor-interval 365 day then 'recent' when tm>=anchor-interval 730 day then 'prior' else 'older' end period from v, a),
+g as (select topic, count(*) records, cast(sum(case when negative then 1 else 0 end) as bigint) negatives, count(distinct source) sources,
+ cast(sum(case when period='recent' then 1 else 0 end) as bigint) recent, cast(sum(case when period='prior' then 1 else 0 end) as bigint) prior from p group by 1),
+h as (select *, {d('records::double/sum(records) over()')} as "share", {d('negatives::double/records')} negative_share,
+ case when recent>=5 and prior>=5 then {d('(recent::double/greatest(1,sum(recent) over())+0.005)/(prior::double/greatest(1,sum(prior) over())+0.005)')} end momentum,
+ records::double/greatest(1,max(records) over()) vr from g),
+s as (select topic, records, negatives, sources, recent, prior, "share", negative_share, momentum,
+ cast((vr>=0.15)::int+(vr>=0.35)::int+(vr>=0.65)::int as int) volume_score, cast((negative_share>=0.2)::int+(negative_share>=0.4)::int+(negative_share>=0.6)::int as int) negative_score,
+ cast(coalesce((momentum>=1.05)::int+(momentum>=1.3)::int+(momentum>=1.75)::int,0) as int) momentum_score, cast(least(3,sources) as int) breadth_score from h),
+t as (select *, cast(volume_score+negative_score+momentum_score+breadth_score as int) priority_score from s)
+select *, case when priority_score>=10 then 'P0' when priority_score>=7 then 'P1' when priority_score>=4 then 'P2' else 'P3' end priority from t""")
+def topic_priority(spark, sf):
+    return S.topic_priority(orders_voice(spark, sf), "topic", "source", "at", F.col("negative"), 365)
+
+
+@query(f"""with v as ({ORDERS_VOICE}), r as (select topic, o_orderkey, o_totalprice, cast(row_number() over(partition by topic order by o_totalprice desc, tm desc, o_orderkey) as int) rank from v where negative)
+select * from r where rank<=3""")
+def negative_excerpts_topk(spark, sf):
+    v = orders_voice(spark, sf).filter("negative")
+    return S.top_per_group(v, ["topic"], [F.desc("o_totalprice"), F.desc("at"), F.col("o_orderkey")], 3).select("topic", "o_orderkey", "o_totalprice", "rank")
+
+
+@query(f"""with v as ({ORDERS_VOICE}), a as (select max(tm) anchor from v)
+select case when tm>=anchor-interval 30 day then 'recent' when tm>=anchor-interval 60 day then 'prior' else 'older' end period, topic, count(*) n from v, a group by 1,2""")
+def period_label(spark, sf):
+    return S.period_label(orders_voice(spark, sf), "at").groupBy("period", "topic").agg(F.count("*").alias("n"))
+
+
+@query(f"""with v as (select game_id, published_at tm from bilibili), m as (select game_id, max(tm) anchor from v group by 1),
+g as (select v.game_id, count(*) items, cast(sum(case when tm>=anchor-interval 30 day then 1 else 0 end) as bigint) recent,
+ cast(sum(case when tm>=anchor-interval 60 day and tm<anchor-interval 30 day then 1 else 0 end) as bigint) prior from v join m using(game_id) group by 1)
+select *, case when recent+prior>=3 then {d('(recent+0.5::double)/(prior+0.5::double)', 3)} end momentum, cast(least(3,ceil(log2(items+1))) as int) volume_score from g""")
+def insight_priority(spark, sf):
+    return S.anchored_momentum(load(spark, sf, "bilibili").select("game_id", F.col("published_at").alias("at")), "game_id", "at")
+
+
+@query("""select identity_key, arg_max(ingest_seq, ingest_seq) ingest_seq, arg_max(relevance_label, ingest_seq) relevance_label from evidence group by 1""")
+def dedup_keep_last(spark, sf):
+    return S.keep_last(load(spark, sf, "evidence").select("identity_key", "ingest_seq", "relevance_label"), ["identity_key"], "ingest_seq")
+
+
+# --- telemetry --------------------------------------------------------------------------------------------------------------------
+@query(f"""with u as (select o_custkey as "user", cast(min(o_orderdate) as date) signup, c_mktsegment segment from orders join customer on o_custkey=c_custkey group by 1,3),
+a as (select distinct o_custkey as "user", cast(o_orderdate as date) "day" from orders),
+p as (select u."user", segment, max(case when "day"-signup=1 then 1 else 0 end) d1, max(case when "day"-signup=7 then 1 else 0 end) d7, max(case when "day"-signup=30 then 1 else 0 end) d30 from u left join a on u."user"=a."user" group by 1,2)
+select segment, count(*) eligible, cast(sum(d1) as bigint) d1_users, {d('sum(d1)::double/count(*)')} d1_rate, cast(sum(d7) as bigint) d7_users, {d('sum(d7)::double/count(*)')} d7_rate,
+ cast(sum(d30) as bigint) d30_users, {d('sum(d30)::double/count(*)')} d30_rate from p group by 1""")
+def retention_d1_d7_d30(spark, sf):
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    day = F.to_date("o_orderdate")
+    first = o.groupBy(F.col("o_custkey").alias("user")).agg(F.min(day).alias("signup"))
+    users = first.join(c.select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("segment")), "user")
+    return Y.retention(users, o.select(F.col("o_custkey").alias("user"), day.alias("day")), by=["segment"])
+
+
+@query(f"""with e as (select c_mktsegment segment, count(*) eligible from customer group by 1),
+p as (select c_mktsegment segment, count(distinct o_custkey) payers, count(*) transactions, sum(o_totalprice) revenue from orders join customer on o_custkey=c_custkey where o_orderstatus='F' group by 1)
+select segment, eligible, coalesce(payers,0) payers, coalesce(transactions,0) transactions, cast(round(cast(coalesce(revenue,0) as decimal(18,6)),2) as double) revenue, {d('coalesce(payers,0)::double/eligible')} conversion,
+ {d('coalesce(revenue,0)/eligible', 2)} arpu, case when payers>0 then {d('revenue/payers', 2)} end arppu from e left join p using(segment)""")
+def monetisation_cohort(spark, sf):
+    users = load(spark, sf, "customer").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("segment"))
+    pay = load(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("user"), F.col("o_totalprice").alias("amount"))
+    return Y.monetisation(users, pay, ["segment"])
+
+
+@query(f"""with p as (select user_id, max((event_type='purchase')::int) bought, max((event_type='error')::int) failed, max((event_type='click' and value>30)::int) outcome from events group by 1)
+select bought, failed, count(*) users, cast(sum(outcome) as bigint) with_outcome, {d('sum(outcome)::double/count(*)')} outcome_rate from p group by 1,2""")
+def engagement_flags(spark, sf):
+    return Y.engagement(load(spark, sf, "events"), "user_id", {"bought": F.col("event_type") == "purchase", "failed": F.col("event_type") == "error"}, (F.col("event_type") == "click") & (F.col("value") > 30))
+
+
+@query(f"""select case when ts<timestamp '2024-01-16' then 'before' else 'after' end period, cast(user_id%3 as int) platform, count(*) sessions, cast(sum((event_type='error')::int) as bigint) failures,
+ {d("sum((event_type='error')::int)::double/count(*)")} failure_rate, {d('avg(value)', 2)} mean_value, count(distinct user_id) users from events group by 1,2""")
+def segmentation(spark, sf):
+    period = F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "before").otherwise("after").alias("period")
+    return Y.segmentation(load(spark, sf, "events"), [period, (F.col("user_id") % 3).cast("int").alias("platform")], F.col("event_type") == "error", "value", "user_id")
+
+
+@query(f"""with p as (select user_id, max((event_type='view')::int) a, max((event_type='purchase')::int) b from events group by 1 having max((event_type='view')::int)=1)
+select count(*) participants, coalesce(cast(sum(b) as bigint),0) buyers, {d('coalesce(sum(b)::double/nullif(count(*),0),0)', 5)} conversion from p""")
+def funnel_conversion(spark, sf):
+    return Y.funnel(load(spark, sf, "events"), "user_id", F.col("event_type") == "view", F.col("event_type") == "purchase")
+
+
+@query(VOICES + f"""select prim topic, count(*) n, cast(sum((sentiment='negative')::int) as bigint) negative, {d('avg((sentiment=' + chr(39) + 'positive' + chr(39) + ')::int::double)')} positive_share,
+ {d('count(*)::double/sum(count(*)) over()')} as "share" from voices group by 1""")
+def feedback_topic_summary(spark, sf):
+    v = voices(spark, sf).groupBy(F.col("primary").alias("topic")).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("sentiment") == "negative", 1).otherwise(0)).alias("negative"), T.rnd(F.avg((F.col("sentiment") == "positive").cast("double")), 4).alias("positive_share")
+    )
+    from pyspark.sql import Window
+
+    return v.withColumn("share", T.ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))  # a few topics
+
+
+# --- text -------------------------------------------------------------------------------------------------------------------------
+@query(f"select doc_id, len(list_filter({words('text')}, lambda t: t in ('guild','server'))) hits from documents")
+def term_count_boundary(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", T.term_hits(T.ascii_tokens(F.col("text")), ["guild", "server"]).cast("bigint").alias("hits"))
+
+
+@query("select doc_id, (length(coalesce(text,''))-length(replace(coalesce(text,''),'frames','')))//6 hits from documents")
+def term_count_substring(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", T.substring_count(F.col("text"), "frames").alias("hits"))
+
+
+_low = "lower(coalesce(text,''))"
+_sub = lambda terms: "+".join(f"(length({_low})-length(replace({_low},'{t}','')))//{len(t)}" for t in terms)
+
+
+@query(f"with x as (select doc_id, {_sub(L.POSITIVE)} lex_pos, {_sub(L.NEGATIVE)} lex_neg from documents) select *, case when lex_pos+lex_neg>0 then {d('(lex_pos-lex_neg)::double/(lex_pos+lex_neg)')} else 0.0::double end lex_score from x")
+def lexical_sentiment(spark, sf):
+    return A.lexical_sentiment(load(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+@query(VOICES + """select ingest_seq, prim, hits, array_to_string(list_transform(list_filter(list_slice(ranked,2,99), lambda x: -x.neg >= greatest(1, hits//2))[1:4], lambda x: x.topic),',') secondary, sentiment from voices""")
+def multi_label_topics(spark, sf):
+    return voices(spark, sf).select("ingest_seq", F.col("primary").alias("prim"), F.col("hits").cast("bigint").alias("hits"), F.array_join("secondary", ",").alias("secondary"), "sentiment")
+
+
+@query(VOICES + f"select ingest_seq, case when prim='unknown' then 0.35::double else {d('least(0.95,0.55+0.08*hits)', 2)} end confidence, prim='unknown' or sentiment='unknown' needs_review from voices")
+def annotation_confidence(spark, sf):
+    return A.confidence(voices(spark, sf)).select("ingest_seq", "confidence", "needs_review")
+
+
+_rx = "|".join(L.REQUESTS)
+
+
+@query(f"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text,''),'([.!?。！？])[ \\t\\n\\x0B\\f\\r]*',e'\\\\1\\n','g'),'\\n+'), lambda x: trim(x, ' ')), lambda x: x<>'') ss from documents)
+select doc_id, array_to_string(list_transform(list_filter(ss, lambda x: regexp_matches(lower(x),'{_rx}'))[1:3], lambda x: substr(x,1,300)),' | ') requests from s""")
+def explicit_requests(spark, sf):
+    return A.requests(load(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("requests", " | ").alias("requests"))
+
+
+@query(f"""with t as (select doc_id, {words('text')} toks from documents) select doc_id, concat_ws(',', {','.join(f"case when len(list_filter(toks, lambda t: t in ({quoted(v)})))>0 then '{k}' end" for k, v in sorted(L.BEHAVIOURS.items()))}) behaviours from t""")
+def behaviour_signals(spark, sf):
+    t = load(spark, sf, "documents").select("doc_id", T.ascii_tokens(F.col("text")).alias("tokens"))
+    return A.behaviours(t).select("doc_id", F.array_join("behaviours", ",").alias("behaviours"))
+
+
+@query(VOICES + f"""select ingest_seq, case when sentiment in ('negative','mixed') then concat_ws(',', {','.join(f"case when len(list_filter(toks, lambda t: t in ({quoted(v)})))>0 then '{k}' end" for k, v in sorted(L.PAINS.items()))}) else '' end pains,
+ case when sentiment in ('negative','mixed') then case prim {' '.join(f"when '{k}' then '{v}'" for k, v in L.NEEDS.items())} end end need from voices""")
+def pain_points(spark, sf):
+    return A.pains(voices(spark, sf)).select("ingest_seq", F.array_join("pains", ",").alias("pains"), "need")
+
+
+@query("select doc_id, sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) fingerprint from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
+def content_fingerprint(spark, sf):
+    return load(spark, sf, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", T.content_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query("select o_orderkey, concat('ord_', substr(sha256(concat_ws(':', cast(o_custkey as varchar), o_orderpriority)),1,20)) id from orders")
+def stable_ids(spark, sf):
+    return load(spark, sf, "orders").select("o_orderkey", T.stable_id("ord_", F.col("o_custkey").cast("string"), F.col("o_orderpriority")).alias("id"))
+
+
+@query("""select doc_id, regexp_replace(lower(source),'[^a-z0-9]+','-','g') slug, case when length(trim(regexp_replace(title,'[ \\t\\n\\x0B\\f\\r]+',' ','g')))>20 then concat(substr(replace(trim(regexp_replace(title,'[ \\t\\n\\x0B\\f\\r]+',' ','g')),'|','\\|'),1,19),'…') else replace(trim(regexp_replace(title,'[ \\t\\n\\x0B\\f\\r]+',' ','g')),'|','\\|') end cell,
+ coalesce(regexp_matches(title,'[㐀-鿿]'),false) cjk from documents""")
+def text_functions(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", T.slug(F.col("source")).alias("slug"), T.cell(F.col("title"), 20).alias("cell"), T.has_cjk(F.col("title")).alias("cjk"))
+
+
+@query("""select event_id, cast(json_extract_string(props,'$.k') as bigint) k, case when lower(trim(event_type)) in ('','nan','none','null','<na>') then null else trim(event_type) end kind from events""")
+def json_props(spark, sf):
+    return load(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), T.nullify(F.col("event_type")).alias("kind"))
+
+
+@query("""select p_partkey, array_to_string(regexp_extract_all(p_name,'[A-Za-z]+|\\d+'),',') tokens, case when p_size%3=0 then null when p_size%3=1 then true else false end flag from part""")
+def tokens_extract(spark, sf):
+    flag = T.lenient_bool(F.when(F.col("p_size") % 3 == 0, "maybe").when(F.col("p_size") % 3 == 1, "Yes").otherwise("0"))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(F.regexp_extract_all("p_name", F.lit(r"[A-Za-z]+|\d+"), F.lit(0)), ",").alias("tokens"), flag.alias("flag"))
+
+
+@query("select language, count(*) n from bilibili group by 1")
+def language_counts(spark, sf):
+    return load(spark, sf, "bilibili").groupBy("language").agg(F.count("*").alias("n"))
+
+
+# --- store ------------------------------------------------------------------------------------------------------------------------
+@query("""select access_scope, content_fingerprint, count(*) as "rows", count(distinct identity_key) identities, count(distinct source) sources from evidence where content_fingerprint is not null group by 1,2 having count(distinct identity_key)>1""")
+def cross_posts(spark, sf):
+    return U.cross_posts(load(spark, sf, "evidence"))
+
+
+@query("""with m as (select quantile_disc(ingest_seq,0.5) h from evidence), b as (select identity_key, arg_max(evidence_id,ingest_seq) evidence_id, arg_max(game_id,ingest_seq) game_id, arg_max(relevance_label,ingest_seq) relevance_label, max(ingest_seq) s from evidence,m where ingest_seq<=10*cast(floor(h/10) as bigint) group by 1),
+n as (select identity_key, arg_max(evidence_id,ingest_seq) evidence_id, arg_max(game_id,ingest_seq) game_id, arg_max(relevance_label,ingest_seq) relevance_label, max(ingest_seq) s from evidence,m where ingest_seq>10*cast(floor(h/10) as bigint) group by 1)
+select identity_key, coalesce(b.evidence_id,n.evidence_id) evidence_id, coalesce(b.game_id,n.game_id) game_id, coalesce(n.relevance_label,b.relevance_label) relevance_label, coalesce(n.s,b.s) ingest_seq from b full join n using(identity_key)""")
+def upsert_merge(spark, sf):
+    """The first half of the log as base, the second merged into it."""
+    e = load(spark, sf, "evidence")
+    half = e.select(F.floor(F.percentile("ingest_seq", F.lit(0.5)) / 10).alias("h"))
+    cut = e.join(F.broadcast(half), how="cross")  # one row
+    cols = ["identity_key", "evidence_id", "game_id", "relevance_label", "ingest_seq"]
+    base = S.keep_last(cut.filter("ingest_seq <= 10 * h").select(*cols), ["identity_key"], "ingest_seq")
+    return U.upsert(base, cut.filter("ingest_seq > 10 * h").select(*cols)).select(*cols)
+
+
+@query("""with b as (select * from evidence where run_id <> (select max(run_id) from runs)), n as (select identity_key, count(*) c from evidence where run_id = (select max(run_id) from runs) group by 1)
+select cast(sum((k.identity_key is null)::int) as bigint) inserted, cast(sum((k.identity_key is not null)::int) as bigint) updated, cast(sum(c-1) as bigint) repeated from n left join (select distinct identity_key from b) k using(identity_key)""")
+def upsert_counters(spark, sf):
+    e = load(spark, sf, "evidence")
+    last = F.broadcast(load(spark, sf, "runs").agg(F.max("run_id").alias("last")))  # one row
+    e = e.join(last, how="cross")
+    return U.upsert_counts(e.filter("run_id != last"), e.filter("run_id = last"))
+
+
+@query("""with n as (select identity_key, arg_max(game_id,ingest_seq) game_id, max(ingest_seq) ingest_seq from evidence where source='steam' group by 1)
+select identity_key, game_id, ingest_seq from evidence where game_id not in (select game_id from n) union all select * from n""")
+def replace_partition(spark, sf):
+    e = load(spark, sf, "evidence").select("identity_key", "game_id", "ingest_seq", "source")
+    return U.replace_partition(e.drop("source"), e.filter("source = 'steam'").drop("source"), "game_id", ["identity_key"], "ingest_seq")
+
+
+@query("""with l as (select evidence_id, count(*) links, array_to_string(list_sort(list(distinct query_id)),',') query_ids, array_to_string(list_sort(list_distinct(flatten(list(alias_ids)))),',') alias_ids from evidence_query_links group by 1)
+select e.evidence_id, coalesce(links,0) links, coalesce(query_ids,'') query_ids, coalesce(alias_ids,'') alias_ids from (select distinct evidence_id from evidence) e left join l using(evidence_id)""")
+def query_links_nest(spark, sf):
+    return U.nest_links(load(spark, sf, "evidence"), load(spark, sf, "evidence_query_links"))
+
+
+@query("""select 'evidence without run' as "rule", count(*) as "rows", count(distinct run_id) "keys" from evidence where run_id is not null and run_id not in (select run_id from runs)
+union all select 'evidence without game', count(*), count(distinct game_id) from evidence where game_id is not null and game_id not in (select game_id from games)
+union all select 'link without evidence', count(*), count(distinct evidence_id) from evidence_query_links where evidence_id not in (select evidence_id from evidence)
+union all select 'comment without parent', count(*), count(distinct parent_evidence_id) from bilibili where parent_evidence_id is not null and parent_evidence_id not in (select evidence_id from bilibili)""")
+def integrity_orphans(spark, sf):
+    e, b = load(spark, sf, "evidence"), load(spark, sf, "bilibili")
+    return (
+        U.orphans(e, load(spark, sf, "runs"), "run_id", "evidence without run")
+        .unionByName(U.orphans(e, load(spark, sf, "games"), "game_id", "evidence without game"))
+        .unionByName(U.orphans(load(spark, sf, "evidence_query_links"), e, "evidence_id", "link without evidence"))
+        .unionByName(U.orphans(b.select(F.col("parent_evidence_id").alias("evidence_id")), b, "evidence_id", "comment without parent"))
+    )
+
+
+@query("""select 'private needs dataset' as "rule", cast(coalesce(sum((access_scope='private' and dataset_id='')::int),0) as bigint) broken from evidence
+union all select 'public has no dataset', cast(coalesce(sum((access_scope='public' and dataset_id<>'')::int),0) as bigint) from evidence
+union all select 'identity matches', cast(coalesce(sum((identity_key<>sha256(concat_ws('|',access_scope,case when dataset_id='' then 'public' else dataset_id end,source,source_content_id)))::int),0) as bigint) from evidence""")
+def contract_violations(spark, sf):
+    e = load(spark, sf, "evidence").withColumn("expected", U.identity_key())
+    return U.violations(e, {"private needs dataset": "access_scope <> 'private' OR dataset_id <> ''", "public has no dataset": "access_scope <> 'public' OR dataset_id = ''", "identity matches": "identity_key = expected"})
+
+
+# --- relevance --------------------------------------------------------------------------------------------------------------------
+_TITLES, _SAFE, _SCOPED, _RIVALS = ["moon shards", "石像守卫"], ["paper cranes", "纸鹤"], ["guild raid", "公会副本"], ["salt candles", "盐烛"]
+
+
+def labelled(spark, sf):
+    d_ = load(spark, sf, "documents").select("doc_id", "text", "source")
+    return R.relevance(d_, "text", _TITLES, _SAFE, _SCOPED, _RIVALS, F.col("source") == "lanternpost_forum")
+
+
+def _contains(phrases: list[str]) -> str:
+    one = lambda p: f"contains(regexp_replace(norm,'[ ]+','','g'),'{p}')" if any("㐀" <= c <= "鿿" for c in p) else f"contains(concat(' ',norm,' '),' {p} ')"
+    return "(" + " or ".join(map(one, phrases)) + ")"
+
+
+_terms_sql = f"len(list_intersect({words('norm')}, [{quoted(L.GAME_TERMS)}]))"
+RELEVANCE = f"""
+with n as (select doc_id, source, trim(regexp_replace(lower(coalesce(text,'')),'[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}]+',' ','g'),' ') norm from documents),
+h as (select *, {_contains(_TITLES)} t, {_contains(_SAFE)} a, {_contains(_SCOPED)} s, {_contains(_RIVALS)} r, {_terms_sql} k from n),
+c as (select *, {d("greatest(0.0,least(1.0,(case when t then 0.78 else 0 end)+(case when a then 0.55 when s then 0.2 else 0 end)+least(k*0.45,0.675)+(case when (a or s) and k>=2 then 0.15 else 0 end)+(case when source='lanternpost_forum' then 0.05 else 0 end)-(case when r then 0.85 else 0 end)))")} score from h),
+rel as (select *, case when r and score<0.7 then 'irrelevant' when score>=0.7 and not (s and not a and not t and k=0) then 'relevant' when score>=0.25 or a or s or t then 'ambiguous' else 'irrelevant' end as label from c)
+"""
+
+
+@query(RELEVANCE + "select doc_id, score, label from rel")
+def relevance_labels(spark, sf):
+    return labelled(spark, sf).select("doc_id", "score", "label")
+
+
+@query(RELEVANCE + "select doc_id, source, score, k as terms from rel where label='ambiguous'")
+def review_queue(spark, sf):
+    return labelled(spark, sf).filter("label = 'ambiguous'").select("doc_id", "source", "score", F.col("terms").cast("bigint").alias("terms"))
+
+
+@query(f"""with x as (select (relevance_label='relevant') p, (relevance_score>=0.5) t from bilibili where relevance_score is not null), g as (select coalesce(sum((p and t)::int),0)::bigint tp, coalesce(sum((p and not t)::int),0)::bigint fp, coalesce(sum((not p and t)::int),0)::bigint fn from x)
+select *, {d('coalesce(tp::double/nullif(tp+fp,0),0)')} "precision", {d('coalesce(tp::double/nullif(tp+fn,0),0)')} recall from g""")
+def precision_recall(spark, sf):
+    b = load(spark, sf, "bilibili").filter("relevance_score is not null")
+    return R.precision_recall(b.withColumn("truth", F.when(F.col("relevance_score") >= 0.5, "relevant").otherwise("other")), "relevance_label", "truth")
+
+
+# --- insights ---------------------------------------------------------------------------------------------------------------------
+_STATUS = [("bilibili", "collected", None), ("steam", "partial", 10), ("mastodon", "unavailable", 0)]
+
+
+@query("""with e as (select source, count(*) observed, sum((relevance_label='relevant')::int) relevant, sum((relevance_label='ambiguous')::int) ambiguous, sum((relevance_label='irrelevant')::int) irrelevant from evidence group by 1),
+s(source,status,retrieved) as (values ('bilibili','collected',null),('steam','partial',10),('mastodon','unavailable',0))
+select source, coalesce(status,'collected') status, cast(coalesce(retrieved,observed) as bigint) retrieved, coalesce(observed,0) observed, cast(coalesce(relevant,0) as bigint) relevant, cast(coalesce(ambiguous,0) as bigint) ambiguous, cast(coalesce(irrelevant,0) as bigint) irrelevant from e full join s using(source)""")
+def coverage_full_outer(spark, sf):
+    status = spark.createDataFrame(_STATUS, "source string, status string, retrieved long")
+    return I.coverage(load(spark, sf, "evidence").select("source", F.col("relevance_label").alias("label")), status)
+
+
+@query(VOICES + "select source, sentiment, prim topic, count(*) n from voices group by 1,2,3")
+def sample_scope(spark, sf):
+    return voices(spark, sf).groupBy("source", "sentiment", F.col("primary").alias("topic")).agg(F.count("*").alias("n"))
+
+
+def positions(spark, sf):
+    return voices(spark, sf).select(F.col("primary").alias("topic"), "source", "sentiment", "evidence_id", "ingest_seq")
+
+
+@query(VOICES + f""", g as (select prim topic, count(*) items, count(distinct source) sources, cast(sum((sentiment='positive')::int) as bigint) p, cast(sum((sentiment='negative')::int) as bigint) n, cast(sum((sentiment='mixed')::int) as bigint) m from voices group by 1),
+u as (select topic, items, sources, 'research_gap' kind, items supports, 0::bigint challenges from g where topic='unknown' union all select topic,items,sources,'praise',p,n from g where topic<>'unknown' and p>=1
+ union all select topic,items,sources,'complaint',n,p from g where topic<>'unknown' and n>=1 union all select topic,items,sources,'controversy',p,n from g where topic<>'unknown' and p>=1 and n>=1
+ union all select topic,items,sources,'mixed_gap',m,0::bigint from g where topic<>'unknown' and m>=1 and not (p>=1 and n>=1))
+select *, {d('least(0.95,0.45+0.08*least(5,items)+0.05*least(2,sources))', 3)} confidence from u""")
+def insights_union(spark, sf):
+    return I.insights(positions(spark, sf))
+
+
+@query(VOICES + f""", g as (select prim topic, source, count(*) n, {d('sum((sentiment=' + chr(39) + 'negative' + chr(39) + ')::int)::double/count(*)')} as sh from voices group by 1,2),
+r as (select topic, source, sh, row_number() over(partition by topic order by sh desc, source) hi, row_number() over(partition by topic order by sh, source) lo, count(*) over(partition by topic) sources from g)
+select a.topic, a.sources, a.source highest, b.source lowest, {d('a.sh-b.sh')} gap from r a join r b on a.topic=b.topic and a.hi=1 and b.lo=1 where a.sources>=2 and {d('a.sh-b.sh')}>=0.05""")
+def source_gap_difference(spark, sf):
+    return I.source_gap(positions(spark, sf), 0.05)
+
+
+@query(VOICES + """, n as (select case prim """ + " ".join(f"when '{k}' then '{v}'" for k, v in L.NEEDS.items()) + """ end need from voices where sentiment in ('negative','mixed')), g as (select need, count(*) items from n where need is not null group by 1)
+select need, items, cast(row_number() over(order by items desc, need) as int) rank from g qualify row_number() over(order by items desc, need)<=4""")
+def opportunity_groups(spark, sf):
+    g = A.pains(voices(spark, sf)).filter("need is not null").groupBy("need").agg(F.count("*").alias("items"))
+    return S.top_per_group(g.withColumn("all", F.lit(1)), ["all"], [F.desc("items"), F.col("need")], 4).drop("all")  # a few needs
+
+
+@query(VOICES + """, g as (select prim topic, count(distinct case when sentiment='positive' then evidence_id end) pro, count(distinct case when sentiment='negative' then evidence_id end) con from voices where prim<>'unknown' group by 1) select * from g where pro>=2 and con>=2""")
+def controversy_sides(spark, sf):
+    return M.controversies(positions(spark, sf))
+
+
+# --- plans, aliases, entities -----------------------------------------------------------------------------------------------------
+@query("""with m as (select r_name region, n_name nation, n_nationkey, cast(row_number() over(partition by r_name order by n_nationkey) as int) slot from region cross join nation) select region, nation, slot from m where slot<=7""")
+def query_matrix(spark, sf):
+    n = load(spark, sf, "nation")
+    return P.query_matrix(load(spark, sf, "region").select(F.col("r_name").alias("region")), n.select(F.col("n_name").alias("nation"), "n_nationkey"), ["region"], [F.col("n_nationkey")], 7).select("region", "nation", "slot")
+
+
+@query("""with a as (select *, row_number() over(partition by p_brand, p_type order by p_partkey) f from part), b as (select *, cast(row_number() over(partition by p_brand order by (f>1)::int, p_partkey) as int) slot from a) select p_brand, p_partkey, slot from b where slot<=5""")
+def plan_selection(spark, sf):
+    return P.select_plans(load(spark, sf, "part").select("p_brand", "p_type", "p_partkey"), "p_brand", "p_type", "p_partkey", 5).select("p_brand", "p_partkey", "slot")
+
+
+def observations(spark, sf):
+    p = load(spark, sf, "part")
+    return p.select(
+        T.name_key(F.split("p_name", " ")[0]).alias("key"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("text"), (F.col("p_size") % 4 + 1).alias("type_rank"), (F.col("p_size") % 3 + 1).alias("ambiguity_rank"),
+        F.col("p_brand").alias("value"), (F.col("p_size") / 50.0).alias("confidence"), (F.col("p_size") > 40).alias("flag"),
+    )
+
+
+MERGED = """with o as (select regexp_replace(lower(split_part(p_name,' ',1)),'[^a-z0-9_]+','','g') as "key", p_partkey seq, p_name as txt, p_size%4+1 tr, p_size%3+1 ar, p_brand v, p_size/50.0::double cf, p_size>40 fl from part),
+m as (select "key", count(*) observations, arg_min(txt,seq) as "text", min(tr) type_rank, max(ar) ambiguity_rank, array_to_string(list_sort(list(distinct v)),',') as "values", max(cf) confidence, bool_or(fl) any_flag from o group by 1)"""
+
+
+@query(MERGED + ' select * from m')
+def alias_merge(spark, sf):
+    return P.merge_observations(observations(spark, sf), "key", "seq")
+
+
+@query(MERGED + """ select "key", case when observations<1 then 'rejected' when ambiguity_rank>=3 then case when confidence>=0.6 then 'scoped' else 'rejected' end when ambiguity_rank=2 then 'scoped' when type_rank>=3 and observations<2 then 'pending' when confidence<0.5 then 'pending' else 'validated' end status from m""")
+def alias_validation(spark, sf):
+    return P.validate_aliases(P.merge_observations(observations(spark, sf), "key", "seq")).select("key", "status")
+
+
+@query(f"""with r as (select c_mktsegment, c_name, c_acctbal, lead(c_acctbal) over(partition by c_mktsegment order by c_acctbal desc, c_name) nx, row_number() over(partition by c_mktsegment order by c_acctbal desc, c_name) rn from customer)
+select c_mktsegment, c_name best, c_acctbal score, {d('c_acctbal-coalesce(nx,0)', 2)} margin from r where rn=1""")
+def top_margin(spark, sf):
+    return P.closest_margin(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "c_name").withColumn("margin", T.rnd(F.col("margin"), 2))
+
+
+@query("""with k as (select distinct game_id, unnest(map_entries(external_ids)) x from games), e as (select distinct game_id, concat_ws(':',x.key,x.value) kk from k), h as (select kk, min(game_id) head from e group by 1) select distinct head a, game_id b from e join h using(kk) where game_id<>head""")
+def entity_links(spark, sf):
+    return P.entity_links(load(spark, sf, "games"), "game_id", "external_ids")
+
+
+# --- facts ------------------------------------------------------------------------------------------------------------------------
+def part_facts(spark, sf):
+    return K.unpivot(load(spark, sf, "part"), "p_partkey", {"brand": "p_brand", "size": "p_size", "type": "p_type"})
+
+
+_FACTS = "f as (select cast(p_partkey as varchar) entity, 'brand' fact_type, p_brand as val from part union all select cast(p_partkey as varchar), 'size', cast(p_size as varchar) from part union all select cast(p_partkey as varchar), 'type', p_type from part)"
+
+
+@query(f"with {_FACTS} select entity, fact_type, val as \"value\", concat('fact_',substr(sha256(concat_ws(':',entity,fact_type,val)),1,20)) fact_id from f where val is not null and trim(val)<>''")
+def fact_unpivot(spark, sf):
+    return part_facts(spark, sf)
+
+
+@query("""select cast(l_partkey as varchar) as entity, 'return_flag' fact_type, count(*) facts, count(distinct l_returnflag) as "values" from lineitem group by 1 having count(distinct l_returnflag)>1""")
+def fact_conflicts(spark, sf):
+    f = load(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("entity"), F.lit("return_flag").alias("fact_type"), F.col("l_returnflag").alias("value"))
+    return K.conflicts(f, ["entity", "fact_type"])
+
+
+@query("select evidence_id, version_context from bilibili where version_context is null or lower(version_context) in ('1.4','7.15')")
+def scope_filter(spark, sf):
+    return load(spark, sf, "bilibili").filter(K.in_scope(F.col("version_context"), ["1.4", "7.15"])).select("evidence_id", "version_context")
+
+
+@query(f"with {_FACTS}, h as (select entity, list(distinct fact_type) v from f where fact_type in ('brand','size','price') group by 1) select entity, array_to_string(list_sort(v),',') available, array_to_string(list_sort(list_filter(['brand','size','price'], lambda x: not list_contains(v,x))),',') missing from h")
+def fact_readiness(spark, sf):
+    return K.readiness(part_facts(spark, sf), ["brand", "size", "price"])
+
+
+# --- modes ------------------------------------------------------------------------------------------------------------------------
+@query(VOICES + f""", c as (select source as subject, prim dimension, count(*) n from voices group by 1,2), t as (select source as subject, count(*) total from voices group by 1), grid as (select subject, total, dimension from t cross join (select distinct dimension from c))
+select g.subject, g.dimension, coalesce(n,0) n, {d('100.0*coalesce(n,0)::double/total', 1)} as "share", case when coalesce(n,0)=0 then 'insufficient' when n<3 then 'low' when n>=5 then 'higher' else 'medium' end confidence from grid g left join c using(subject,dimension)""")
+def compare_grid(spark, sf):
+    return M.compare_grid(positions(spark, sf).select(F.col("source").alias("subject"), F.col("topic").alias("dimension")))
+
+
+@query(VOICES + """, g as (select prim topic, sum((sentiment='positive')::int) p, sum((sentiment='negative')::int) n, count(distinct source) sources from voices group by 1)
+select topic, cast(p as bigint) praise, cast(n as bigint) complaints, sources, case when topic in ('economy') and p+n>0 then 'possible_friction' when topic in ('audio','story') and p>=n and p>0 then 'likely_match' when topic in ('audio','story') and n>0 then 'possible_friction' else 'uncertain' end fit from g""")
+def preference_fit(spark, sf):
+    return M.preference_fit(positions(spark, sf), wanted=["audio", "story"], avoided=["economy"])
+
+
+@query(VOICES + f""", w as (select prim topic, cast(count(*) as bigint) total from voices where sentiment in ('negative','mixed') group by 1)
+select v.ingest_seq, v.prim topic, coalesce(total,-1) weight, cast(row_number() over(partition by v.prim order by v.hits desc, v.ingest_seq) as int) rank from voices v left join w on v.prim=w.topic where v.sentiment in ('negative','mixed') qualify row_number() over(partition by v.prim order by v.hits desc, v.ingest_seq)<=20""")
+def analyst_findings(spark, sf):
+    return M.findings(voices(spark, sf), 20)
+
+
+@query("""select 'intersect' kind, n_nationkey k from nation where n_nationkey in (select c_nationkey from customer) and n_nationkey in (select s_nationkey from supplier)
+union all select 'except', n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier) union all select 'union', k from (select s_nationkey k from supplier union select n_regionkey from nation)""")
+def set_ops(spark, sf):
+    n, c, s = load(spark, sf, "nation"), load(spark, sf, "customer"), load(spark, sf, "supplier")
+    a, b, x = n.select(F.col("n_nationkey").alias("k")), c.select(F.col("c_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k"))
+    tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "k")
+    return tag(a.intersect(b).intersect(x), "intersect").unionByName(tag(a.exceptAll(x.distinct()), "except")).unionByName(tag(x.union(n.select("n_regionkey")).distinct(), "union"))
+
+
+@query("""with s as (select run_id, unnest(json_keys(source_status)) source, source_status from runs), x as (select run_id, source, json_extract_string(source_status, '$.'||source||'.status') status, cast(json_extract_string(source_status, '$.'||source||'.items_retrieved') as bigint) items from s)
+select source, count(*) runs, cast(sum(items) as bigint) items, case when bool_and(status='collected') then 'collected' when bool_or(status='partial') or (sum(items)>0 and bool_or(status='failed')) then 'partial' when bool_and(status='unavailable') then 'unavailable' when bool_or(status='collected') then 'partial' else 'failed' end state from x group by 1""")
+def status_rollup(spark, sf):
+    return M.status_rollup(load(spark, sf, "runs"))
