@@ -32,7 +32,7 @@ IGNORABLE = {
 } | {0xAD, *EXTRA_IGNORABLE}
 _DROP = re.compile(f"[{re.escape(''.join(map(chr, sorted(IGNORABLE))))}]+")
 _ALIKE = re.compile(f"[{''.join(map(chr, PROTOTYPE))}]")
-_SEPARATOR = "\ufdd0"
+SEPARATOR = "\ufdd0"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c, to in PROTOTYPE.items():
         alike[c] = ord(to)
     word[[m.start() for m in re.finditer(r"[^\W_]", "".join(map(chr, range(0x10000))))]] = True
-    word[ord(_SEPARATOR)] = False
+    word[ord(SEPARATOR)] = False
     return drop, alike, word
 
 
@@ -63,20 +63,26 @@ def skeleton(text: str | None) -> str:
     return text if text.isascii() or not _ALIKE.search(text) else text.translate(PROTOTYPE)
 
 
-def _without_ignorable(text: str) -> str:
+def without_ignorable(text: str) -> str:
     cp = codepoints(text)
     gone = _IS_DROP[np.minimum(cp, 0xFFFF)] & (cp < 0x10000) | (cp >= 0xE0000) & (cp < 0xE1000)
     return text if not gone.any() else as_text(cp[~gone])
 
 
+def look_alike(text: str) -> str:
+    """Every look-alike letter replaced by its prototype."""
+    cp = codepoints(text)
+    return as_text(np.where(cp < 0x10000, _TO_ALIKE[np.minimum(cp, 0xFFFF)], cp))
+
+
 def level_many(texts: list[str | None]) -> list[str]:
     """Case-, punctuation-, spacing- and look-alike-free forms used to compare wording; '' for null. One pass over all texts."""
     if not len(texts):
         return []
-    clean = [t if t is not None and t == t and _SEPARATOR not in t else (t or "").replace(_SEPARATOR, "") if isinstance(t, str) else "" for t in texts]
-    t = _SEPARATOR.join(clean)
+    clean = [t if t is not None and t == t and SEPARATOR not in t else (t or "").replace(SEPARATOR, "") if isinstance(t, str) else "" for t in texts]
+    t = SEPARATOR.join(clean)
     if not t.isascii():
-        t = _without_ignorable(unicodedata.normalize("NFKC", _without_ignorable(t)))
+        t = without_ignorable(unicodedata.normalize("NFKC", without_ignorable(t)))
     cp = codepoints(t.lower())
     bmp = np.minimum(cp, 0xFFFF)
     low = cp < 0x10000
@@ -87,12 +93,12 @@ def level_many(texts: list[str | None]) -> list[str]:
         alike = np.where(low, _TO_ALIKE[bmp], cp)
     else:
         alike = _TO_ALIKE[bmp]
-    cut = cp == ord(_SEPARATOR)
+    cut = cp == ord(SEPARATOR)
     cp = np.where(word | cut, alike, np.uint32(32)).astype(np.uint32)
     blank = cp == 32
     edge = np.concatenate([[True], (blank | cut)[:-1]])
     cp = cp[~(blank & edge)]
-    return [x[:-1] if x[-1:] == " " else x for x in as_text(cp).split(_SEPARATOR)]
+    return [x[:-1] if x[-1:] == " " else x for x in as_text(cp).split(SEPARATOR)]
 
 
 def levelled(text: str | None) -> str:
