@@ -1,12 +1,13 @@
 """Near-copies by multi-index hashing over symbol fingerprints.
 
 A text becomes a fingerprint of SEGMENTS x WIDTH symbols: its word and character grams are hashed into as many bins and each bin
-keeps its smallest hash. The Hamming distance of two fingerprints is the number of bins in which they differ. Each segment of WIDTH
-symbols has a table; the ball of radius WIDTH - 1 around a segment is enumerated with wildcards, so texts meet as soon as one symbol
-of a segment agrees, and all fingerprints at a distance under SEGMENTS * WIDTH are found. Rows that meet are counted per pair, which is
-the complete distance, and the wording of the remaining pairs is compared exactly. Grams that a fixed share of all texts holds
-(templates, boilerplate) enter no fingerprint: they are found by lossy counting over all texts, and their number is bounded by
-grams per text / HEAVY whatever the size of the collection.
+keeps its smallest hash. The Hamming distance of two fingerprints is the number of symbols in which they differ. Each segment has
+tables that leave out one of its symbols in turn: they enumerate the ball of radius 1 around the segment with a wildcard, so texts meet
+where a segment differs in one symbol at most, and every pair at a distance under 2 x SEGMENTS is found. The complete distance of the
+pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all texts holds
+(templates, boilerplate) are left out of these tables: they are found by lossy counting over all texts, and their number is bounded by
+grams per text / HEAVY whatever the size of the collection. A group of copies so large that its own grams are that frequent meets in
+tables of whole segments of the fingerprint of all grams.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import codepoints, level_many, materialise
 
-SEGMENTS, WIDTH = 6, 2
+SEGMENTS, WIDTH = 5, 3
 SYMBOLS = SEGMENTS * WIDTH
+BALLS = [(g * WIDTH + i, g * WIDTH + j) for g in range(SEGMENTS) for i in range(WIDTH) for j in range(i + 1, WIDTH)]  # a segment without one symbol
 HEAVY = 2e-4  # share of the texts from which on a gram is boilerplate
 HEAVY_LEAST = 16
 CHUNK = 3_000_000  # grams counted at once
 SMALL_BUCKET = 40  # up to here all members meet
-LEAST_SHARE = 6  # one in so many symbols has to agree before the wording is compared
+RARE_SHARE, WHOLE_SHARE = 0.25, 0.33  # share of symbols that have to agree before the wording is compared, by kind of table
+SIGN = "sign"  # the fingerprint in four bits a symbol; 0 is an empty bin
 SIMILAR = 0.45
 LONG = 24
 
@@ -101,8 +104,19 @@ def count_heavy(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.sort(got["h"].to_numpy(np.int64).view(np.uint64)), n
 
 
+def bins(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of n texts: the smallest hash in each of SYMBOLS bins, 0 for an empty one."""
+    slot = d * SYMBOLS + (h % np.uint64(SYMBOLS)).astype(np.int64)
+    order = np.lexsort((h, slot))
+    slot, h = slot[order], h[order]
+    first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
+    out = np.zeros(n * SYMBOLS, np.uint64)
+    out[slot[first]] = h[first]
+    return out.reshape(n, SYMBOLS)
+
+
 def fingerprints(rows: DataFrame, heavy: np.ndarray, extra: str = "") -> DataFrame:
-    """id, class (64-bit hash of the levelled text), keys (one table key for each symbol of the fingerprint)."""
+    """id, class (64-bit hash of the levelled text), keys (the table keys of the fingerprint)."""
     sent = rows.sparkSession.sparkContext.broadcast(heavy)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,55 +128,86 @@ def fingerprints(rows: DataFrame, heavy: np.ndarray, extra: str = "") -> DataFra
                 continue
             t = level_many(list(b["text"]))
             d, h = grams(t)
+            full = bins(d, h, len(t))
             if len(heavy) and len(h):
                 at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
                 keep = heavy[at] != h
                 d, h = d[keep], h[keep]
-            slot = d * SYMBOLS + (h % np.uint64(SYMBOLS)).astype(np.int64)
-            order = np.lexsort((h, slot))
-            slot, h = slot[order], h[order]
-            first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
-            slot, key = slot[first], mix(h[first] + slot[first].astype(np.uint64) % np.uint64(SYMBOLS)).view(np.int64)
-            cut = np.searchsorted(slot // SYMBOLS, np.arange(len(t) + 1))
+            rare = bins(d, h, len(t))
+            left, right = rare[:, [i for i, _ in BALLS]], rare[:, [j for _, j in BALLS]]
+            key = mix(mix(left + np.arange(1, len(BALLS) + 1, dtype=np.uint64)) + right)
+            there = (left | right) != 0
+            part = full.reshape(len(t), SEGMENTS, WIDTH)
+            whole = np.arange(101, 101 + SEGMENTS, dtype=np.uint64)
+            for i in range(WIDTH):
+                whole = mix(whole + part[:, :, i])
+            key = np.concatenate([key | np.uint64(1), whole & ~np.uint64(1)], 1).view(np.int64)  # the lowest bit tells the kind
+            there = np.concatenate([there, part.any(2)], 1)
+            key, cut = key[there], np.concatenate([[0], np.cumsum(there.sum(1))])
+            sign = np.where(full != 0, (full >> np.uint64(40)) % np.uint64(15) + np.uint64(1), np.uint64(0))
+            sign = (sign << (np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
             out = {
                 "id": b["id"],
                 "class": np.array([xxhash.xxh3_64_intdigest(x) for x in t], np.uint64).view(np.int64),
                 "keys": [key[a:z] for a, z in zip(cut[:-1], cut[1:])],
+                SIGN: sign,
             }
             yield pd.DataFrame({**out, **{c: b[c] for c in b.columns if c not in ("id", "text")}})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(task, f"id {kind}, class long, keys array<long>{extra}")
+    return rows.mapInPandas(task, f"id {kind}, class long, keys array<long>, {SIGN} long{extra}")
+
+
+def filled(x: Column) -> Column:
+    """Number of the symbols of x that are not 0."""
+    low = F.lit(int("7" * SYMBOLS, 16))
+    return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(F.lit(int("8" * SYMBOLS, 16))))
+
+
+def alike(a: str, b: str, share: float) -> Column:
+    """Whether enough symbols of two fingerprints agree: the complete distance, up to chance hits of four bits."""
+    x, y = F.col(f"{a}.{SIGN}"), F.col(f"{b}.{SIGN}")
+    either, differ = filled(x.bitwiseOR(y)), filled(x.bitwiseXOR(y))
+    return either - differ >= either * share
 
 
 def meeting(keyed: DataFrame) -> DataFrame:
-    """a < b, shared: pairs of classes of keyed(class, k, key) that share enough symbols; k is the number of symbols of a class.
+    """a < b: pairs of classes of keyed(class, SIGN, key) that meet in a table and whose fingerprints agree enough.
 
-    All members of a bucket of up to SMALL_BUCKET classes meet. The rows of a larger one are keyed again by each pair of their symbols,
-    so that classes that share two symbols still meet; a bucket that stays large then holds copies, which meet its first and last class.
+    All members of a bucket of up to SMALL_BUCKET classes meet. A larger bucket of rare grams holds copies, for its members share two of
+    them: they meet its first and last class. The rows of a larger bucket of whole segments may share boilerplate only, so they are keyed
+    again by each pair of their segments first.
     """
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    rare, whole = (_sized(keyed.filter(c)) for c in (odd, ~odd))
+    big = whole.filter(F.col("n") > SMALL_BUCKET).select("class", SIGN, "key")
+    double = big.join(keyed.filter(~odd).select("class", F.col("key").alias("other")), "class").filter("key != other")
+    double = _sized(double.select("class", SIGN, F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).repartition("key").distinct())
+    pairs = _within(rare, RARE_SHARE).unionByName(_star(rare, RARE_SHARE)).unionByName(_within(whole, WHOLE_SHARE))
+    return pairs.unionByName(_within(double, WHOLE_SHARE)).unionByName(_star(double, WHOLE_SHARE)).distinct()
+
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    """Rows of buckets of two or more, with the bucket's size n."""
     keyed = keyed.repartition("key")
-    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    few = met.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", "k")
-    many = met.filter(F.col("n") > SMALL_BUCKET).select("class").distinct()
-    own = keyed.join(many, "class", "left_semi")
-    big = met.filter(F.col("n") > SMALL_BUCKET).select("class", "k", "key")
-    double = big.join(own.select("class", F.col("key").alias("other")), "class").filter("key != other")
-    double = double.select("class", "k", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct().repartition("key")
-    two = double.join(double.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "k")).alias("lo"), F.max(F.struct("class", "k")).alias("hi")).filter("n > 1"), "key")
-    star = two.filter(F.col("n") > SMALL_BUCKET).select(F.explode(F.array("lo", "hi")).alias("r"), "class", "k").filter("r.class != class")
-    star = star.select(F.least("r.class", "class").alias("a"), F.greatest("r.class", "class").alias("b"), F.least("r.k", "k").alias("k"), F.lit(2).alias("s"))
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+
+
+def _within(rows: DataFrame, share: float) -> DataFrame:
+    rows = rows.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", SIGN)
+    met = rows.alias("x").join(rows.alias("y"), "key").filter((F.col("x.class") < F.col("y.class")) & alike("x", "y", share))
+    return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
-    def within(rows: DataFrame, s: int) -> DataFrame:
-        other = rows.select("key", F.col("class").alias("b"), F.col("k").alias("kb"))
-        return rows.join(other, "key").filter("class < b").select(F.col("class").alias("a"), "b", F.least("k", "kb").alias("k"), F.lit(s).alias("s"))
 
-    pairs = within(few, 1).unionByName(within(two.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", "k"), 2)).unionByName(star)
-    return pairs.groupBy("a", "b").agg(F.sum("s").alias("shared"), F.min("k").alias("k")).filter(F.col("shared") * LEAST_SHARE >= F.col("k")).select("a", "b", "shared")
+def _star(rows: DataFrame, share: float) -> DataFrame:
+    many, side = rows.filter(F.col("n") > SMALL_BUCKET), F.struct("class", SIGN)
+    ends = many.groupBy("key").agg(F.min(side).alias("lo"), F.max(side).alias("hi"))
+    met = many.join(ends, "key").select(F.explode(F.array("lo", "hi")).alias("r"), side.alias("m")).filter(F.expr("r.class != m.class") & alike("r", "m", share))
+    return met.select(F.least("r.class", "m.class").alias("a"), F.greatest("r.class", "m.class").alias("b"))
 
 
 def keyed_of(classes: DataFrame) -> DataFrame:
-    return classes.select("class", F.size("keys").alias("k"), F.explode("keys").alias("key"))
+    return classes.select("class", SIGN, F.explode("keys").alias("key"))
 
 
 def wording(t: str) -> set:
@@ -220,8 +265,8 @@ def near_groups(rows: DataFrame, decide=None, extra: str = "") -> DataFrame:
     """id, class, comp and extra columns of every row of rows(id, text, ...): rows of one comp are copies of one text."""
     heavy, _ = count_heavy(rows)
     prints = materialise(fingerprints(rows, heavy, extra), "prints")
-    classes = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    classes = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first(SIGN).alias(SIGN)), "classes")
     pairs = meeting(keyed_of(classes))
     links = verified(pairs, rows, classes, decide or (lambda j, c, r: j >= SIMILAR))
     comp = components(links)
-    return prints.drop("keys").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    return prints.drop("keys", SIGN).join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
