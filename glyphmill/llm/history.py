@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import levelled, load, materialise, ship, spread
-from .near import LONG, SIGN, SIMILAR, agreement, components, count_heavy, fingerprints, keyed_of, meeting, near_groups, verified
+from .near import LONG, SIGN, SIMILAR, agreement, components, count_heavy, fingerprints, keyed_of, level_rows, linked, near_groups
 
 # Labelled pairs near the border, as prior knowledge beside the sample: similarity, containment, ratio of lengths, whether copies.
 PAIRS = [((0.9, 0.95, 1.0), 1), ((0.5, 0.7, 0.9), 1), ((0.5, 0.95, 0.55), 1), ((0.38, 0.55, 1.0), 0), ((0.35, 0.7, 0.6), 0), ((0.1, 0.3, 0.9), 0)]
@@ -162,28 +162,26 @@ class History:
         batch = materialise(batch.filter(F.col("rank").isNotNull()).select("ingest_seq", "identity_key", "content_fingerprint", "text", "rank"), "batch")
         long = F.char_length("text") >= LONG
         rows = batch.filter(long).select(F.col("ingest_seq").alias("id"), "text", "rank")
+        prints = materialise(level_rows(spread(rows), ", rank long"), "prints")
         if self.meta["heavy"] is None:
-            self.meta["heavy"] = [int(x) for x in count_heavy(rows)[0]]
+            self.meta["heavy"] = [int(x) for x in count_heavy(prints)[0]]
             w = learn(rows)
             self.meta["weights"] = [w.bias, *w.fields]
         weights = Weights(self.meta["weights"][0], tuple(self.meta["weights"][1:]))
-        prints = materialise(fingerprints(spread(rows), np.array(self.meta["heavy"], np.uint64), ", rank long"), "prints")
 
         old = self.table("clusters")
-        mine = prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first(SIGN).alias(SIGN), F.min("rank").alias("rank"))
+        mine = prints.groupBy("class").agg(F.first("text").alias("text"), F.min("rank").alias("rank"))
         known = old.join(mine.select("class"), "class", "left_semi").groupBy("class").agg(F.max_by("comp", "version").alias("was"))
         mine = materialise(mine.join(known, "class", "left"), "mine")
-        fresh = mine.filter("was is null")
-        keyed = materialise(keyed_of(fresh), "keyed")
-        met = self.table("blocks").join(keyed.select("key").distinct(), "key", "left_semi").select("class").distinct()
-        met = self.table("blocks").join(met, "class", "left_semi").select("class", SIGN, "key").unionByName(keyed)
-        pairs = materialise(meeting(materialise(met, "met")), "pairs")
-        new = fresh.select("class")
-        touching = pairs.join(new.withColumnRenamed("class", "a"), "a", "left_semi").unionByName(pairs.join(new.withColumnRenamed("class", "b"), "b", "left_semi")).distinct()
-        own = rows.join(fresh.select(F.col("rep").alias("id"), "class"), "id").groupBy("class").agg(F.min("text").alias("text"))
-        texts = materialise(own.unionByName(self.table("texts").join(touching.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")), "texts")
-        links = verified(touching, texts.select(F.col("class").alias("id"), "text"), texts.select("class", F.col("class").alias("rep")), weights)
-        links = materialise(links, "links")
+        own = mine.filter("was is null").select("class", "text")
+        keyed = materialise(keyed_of(fingerprints(own, np.array(self.meta["heavy"], np.uint64))), "keyed")
+        met = self.table("blocks").join(keyed.select("key").distinct(), "key", "left_semi").unionByName(keyed)
+        new = own.select("class")
+
+        def touching(pairs: DataFrame) -> DataFrame:
+            return pairs.join(new.withColumnRenamed("class", "a"), "a", "left_semi").unionByName(pairs.join(new.withColumnRenamed("class", "b"), "b", "left_semi")).distinct()
+
+        links = materialise(linked(materialise(met, "met"), own.unionByName(self.table("texts")), weights, touching), "links")
 
         # Links join representatives: only clusters that a link touches are read and re-labelled.
         ends = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -192,7 +190,7 @@ class History:
             to = rep.select(F.col("class").alias(end), F.col("comp").alias("to"))
             links = links.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         merged = components(links.filter("a != b"))
-        comps = materialise(mine.withColumn("at", F.coalesce("was", "class")).join(merged.select(F.col("class").alias("at"), "comp"), "at", "left").withColumn("comp", F.coalesce("comp", "at")), "comps")
+        comps = materialise(mine.drop("text").withColumn("at", F.coalesce("was", "class")).join(merged.select(F.col("class").alias("at"), "comp"), "at", "left").withColumn("comp", F.coalesce("comp", "at")), "comps")
         moved = old.join(merged.filter("class != comp").select(F.col("class").alias("comp"), F.col("comp").alias("now")), "comp")
         moved = moved.groupBy("class").agg(F.max_by("now", "version").alias("comp"), F.min("rank").alias("rank"))
         update = comps.select("class", "comp", "rank").unionByName(moved).groupBy("class").agg(F.min("comp").alias("comp"), F.min("rank").alias("rank"))

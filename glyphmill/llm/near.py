@@ -4,10 +4,10 @@ A text becomes a fingerprint of SEGMENTS x WIDTH symbols: its word and character
 keeps its smallest hash. The Hamming distance of two fingerprints is the number of symbols in which they differ. Each segment has
 tables that leave out one of its symbols in turn: they enumerate the ball of radius 1 around the segment with a wildcard, so texts meet
 where a segment differs in one symbol at most, and every pair at a distance under 2 x SEGMENTS is found. The complete distance of the
-pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all texts holds
-(templates, boilerplate) are left out of these tables: they are found by lossy counting over all texts, and their number is bounded by
-grams per text / HEAVY whatever the size of the collection. A group of copies so large that its own grams are that frequent meets in
-tables of whole segments of the fingerprint of all grams.
+pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all texts
+holds (templates, boilerplate) would fill these tables: they are found by lossy counting, and their number is bounded by grams per text / HEAVY
+whatever the size of the collection. Each text has the tables of its fingerprint without them, and those of its fingerprint of all grams
+where the two differ, in which the groups of copies meet that are so large that their own grams are that frequent.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ BALLS = [(g * WIDTH + i, g * WIDTH + j) for g in range(SEGMENTS) for i in range(
 HEAVY = 2e-4  # share of the texts from which on a gram is boilerplate
 HEAVY_LEAST = 16
 CHUNK = 3_000_000  # grams counted at once
-SMALL_BUCKET = 40  # up to here all members meet
+SMALL_BUCKET = 40  # up to here all members meet at once
+SPLIT, SPLITS = 4096, 3  # members outside the largest component from which on a bucket is parted by a further symbol, and how often
+BLOCK = 512  # members compared at once in a large bucket
 RARE_SHARE, WHOLE_SHARE = 0.25, 0.33  # share of symbols that have to agree before the wording is compared, by kind of table
 SIGN = "sign"  # the fingerprint in four bits a symbol; 0 is an empty bin
 SIMILAR = 0.45
@@ -69,8 +71,22 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[where], np.concatenate([at(i5, 5), at(i6, 6), at(i12, 12)])
 
 
-def count_heavy(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of the grams of at least HEAVY of all texts (HEAVY_LEAST at least), and the number of texts."""
+def level_rows(rows: DataFrame, extra: str = "") -> DataFrame:
+    """id, class (64-bit hash of the levelled text), levelled text and extra columns of rows(id, text, ...)."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            t = level_many(list(b["text"]))
+            h = np.array([xxhash.xxh3_64_intdigest(x) for x in t], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": b["id"], "class": h, "text": t, **{c: b[c] for c in b.columns if c not in ("id", "text")}})
+
+    return rows.mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, class long, text string{extra}")
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """h, c: in how many of texts(text: levelled) each gram is; the row of h = 0 counts the texts."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -82,7 +98,7 @@ def count_heavy(rows: DataFrame) -> tuple[np.ndarray, int]:
             return pd.DataFrame({"h": np.append(h[keep].view(np.int64), 0), "c": np.append(c[keep], texts)})
 
         for b in batches:
-            t = level_many(list(b["text"]))
+            t = list(b["text"])
             if not t:
                 continue
             d, h = grams(t)
@@ -97,10 +113,14 @@ def count_heavy(rows: DataFrame) -> tuple[np.ndarray, int]:
         if texts:
             yield flush()
 
-    counted = rows.select("text").mapInPandas(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counted = materialise(counted, "grams")
-    n = counted.filter("h = 0").agg(F.sum("c")).first()[0] or 0
-    got = counted.filter((F.col("h") != 0) & (F.col("c") >= max(HEAVY_LEAST, HEAVY * n))).select("h").toPandas()
+    return texts.select("text").mapInPandas(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def count_heavy(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the grams of at least HEAVY of the texts (HEAVY_LEAST at least), and the number of texts(text: levelled).
+    """
+    n = texts.count()
+    got = count_grams(texts).filter((F.col("h") != 0) & (F.col("c") >= max(HEAVY_LEAST, HEAVY * n))).select("h").toPandas()
     return np.sort(got["h"].to_numpy(np.int64).view(np.uint64)), n
 
 
@@ -115,18 +135,20 @@ def bins(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, SYMBOLS)
 
 
-def fingerprints(rows: DataFrame, heavy: np.ndarray, extra: str = "") -> DataFrame:
-    """id, class (64-bit hash of the levelled text), keys (the table keys of the fingerprint)."""
-    sent = rows.sparkSession.sparkContext.broadcast(heavy)
+def fingerprints(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """class, keys (the table keys of the fingerprints), SIGN of texts(class, text: levelled).
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    Each ball of radius 1 has a key of the rare grams (lowest bit 1) and, where that differs, one of all grams; bits 1 to 4 tell the ball.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(heavy)
 
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heavy = sent.value
+        balls = np.arange(len(BALLS), dtype=np.uint64)
         for b in batches:
             if not len(b):
                 continue
-            t = level_many(list(b["text"]))
+            t = list(b["text"])
             d, h = grams(t)
             full = bins(d, h, len(t))
             if len(heavy) and len(h):
@@ -134,28 +156,20 @@ def fingerprints(rows: DataFrame, heavy: np.ndarray, extra: str = "") -> DataFra
                 keep = heavy[at] != h
                 d, h = d[keep], h[keep]
             rare = bins(d, h, len(t))
-            left, right = rare[:, [i for i, _ in BALLS]], rare[:, [j for _, j in BALLS]]
-            key = mix(mix(left + np.arange(1, len(BALLS) + 1, dtype=np.uint64)) + right)
-            there = (left | right) != 0
-            part = full.reshape(len(t), SEGMENTS, WIDTH)
-            whole = np.arange(101, 101 + SEGMENTS, dtype=np.uint64)
-            for i in range(WIDTH):
-                whole = mix(whole + part[:, :, i])
-            key = np.concatenate([key | np.uint64(1), whole & ~np.uint64(1)], 1).view(np.int64)  # the lowest bit tells the kind
-            there = np.concatenate([there, part.any(2)], 1)
+            keys, there = [], []
+            for kind, part in ((1, rare), (0, full)):
+                left, right = part[:, [i for i, _ in BALLS]], part[:, [j for _, j in BALLS]]
+                key = mix(mix(left + balls + np.uint64(1)) + right) & ~np.uint64(31)
+                keys.append(key | (balls << np.uint64(1)) | np.uint64(kind))
+                there.append((left | right) != 0)
+            there[1] &= keys[0] >> np.uint64(1) != keys[1] >> np.uint64(1)
+            key, there = np.concatenate(keys, 1).view(np.int64), np.concatenate(there, 1)
             key, cut = key[there], np.concatenate([[0], np.cumsum(there.sum(1))])
             sign = np.where(full != 0, (full >> np.uint64(40)) % np.uint64(15) + np.uint64(1), np.uint64(0))
             sign = (sign << (np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
-            out = {
-                "id": b["id"],
-                "class": np.array([xxhash.xxh3_64_intdigest(x) for x in t], np.uint64).view(np.int64),
-                "keys": [key[a:z] for a, z in zip(cut[:-1], cut[1:])],
-                SIGN: sign,
-            }
-            yield pd.DataFrame({**out, **{c: b[c] for c in b.columns if c not in ("id", "text")}})
+            yield pd.DataFrame({"class": b["class"], "keys": [key[a:z] for a, z in zip(cut[:-1], cut[1:])], SIGN: sign})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(task, f"id {kind}, class long, keys array<long>, {SIGN} long{extra}")
+    return texts.select("class", "text").mapInPandas(task, f"class long, keys array<long>, {SIGN} long")
 
 
 def filled(x: Column) -> Column:
@@ -164,46 +178,92 @@ def filled(x: Column) -> Column:
     return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(F.lit(int("8" * SYMBOLS, 16))))
 
 
-def alike(a: str, b: str, share: float) -> Column:
+def alike(a: str, b: str, share: Column) -> Column:
     """Whether enough symbols of two fingerprints agree: the complete distance, up to chance hits of four bits."""
     x, y = F.col(f"{a}.{SIGN}"), F.col(f"{b}.{SIGN}")
     either, differ = filled(x.bitwiseOR(y)), filled(x.bitwiseXOR(y))
     return either - differ >= either * share
 
 
-def meeting(keyed: DataFrame) -> DataFrame:
-    """a < b: pairs of classes of keyed(class, SIGN, key) that meet in a table and whose fingerprints agree enough.
+def meeting(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a < b: pairs of classes of keyed(class, SIGN, key) that meet and whose fingerprints agree enough, rows of the large buckets).
 
-    All members of a bucket of up to SMALL_BUCKET classes meet. A larger bucket of rare grams holds copies, for its members share two of
-    them: they meet its first and last class. The rows of a larger bucket of whole segments may share boilerplate only, so they are keyed
-    again by each pair of their segments first.
+    All members of a bucket of up to SMALL_BUCKET classes meet. Those of a larger one meet its first and last class here, which joins the
+    members of a group of copies cheaply; whom that leaves apart is compared by rest() once these pairs are verified.
     """
-    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    rare, whole = (_sized(keyed.filter(c)) for c in (odd, ~odd))
-    big = whole.filter(F.col("n") > SMALL_BUCKET).select("class", SIGN, "key")
-    double = big.join(keyed.filter(~odd).select("class", F.col("key").alias("other")), "class").filter("key != other")
-    double = _sized(double.select("class", SIGN, F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).repartition("key").distinct())
-    pairs = _within(rare, RARE_SHARE).unionByName(_star(rare, RARE_SHARE)).unionByName(_within(whole, WHOLE_SHARE))
-    return pairs.unionByName(_within(double, WHOLE_SHARE)).unionByName(_star(double, WHOLE_SHARE)).distinct()
+    keyed = keyed.repartition("key")
+    rows = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    large = rows.filter(F.col("n") > SMALL_BUCKET).select(F.col("class").alias("a"), F.col(SIGN).alias("b"), "key")
+    none = F.lit(None).cast("long").alias("key")
+    both = materialise(_within(rows).unionByName(_star(rows)).select("a", "b", none).unionByName(large), "met")  # one shuffle for both
+    pairs = both.filter("key is null").select("a", "b").distinct()
+    return pairs, both.filter("key is not null").select(F.col("a").alias("class"), F.col("b").alias(SIGN), "key")
 
 
-def _sized(keyed: DataFrame) -> DataFrame:
-    """Rows of buckets of two or more, with the bucket's size n."""
-    keyed = keyed.repartition("key")
-    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+def _share() -> Column:
+    """Share of symbols that have to agree, by the kind of table of x.key."""
+    return F.when(F.col("x.key").bitwiseAND(F.lit(1)) == 1, RARE_SHARE).otherwise(WHOLE_SHARE)
 
 
-def _within(rows: DataFrame, share: float) -> DataFrame:
+def _within(rows: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", SIGN)
-    met = rows.alias("x").join(rows.alias("y"), "key").filter((F.col("x.class") < F.col("y.class")) & alike("x", "y", share))
+    met = rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key and x.class < y.class") & alike("x", "y", _share()))
     return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
 
-def _star(rows: DataFrame, share: float) -> DataFrame:
-    many, side = rows.filter(F.col("n") > SMALL_BUCKET), F.struct("class", SIGN)
+def _star(rows: DataFrame) -> DataFrame:
+    many, side = rows.filter(F.col("n") > SMALL_BUCKET), F.struct("key", "class", SIGN)
     ends = many.groupBy("key").agg(F.min(side).alias("lo"), F.max(side).alias("hi"))
-    met = many.join(ends, "key").select(F.explode(F.array("lo", "hi")).alias("r"), side.alias("m")).filter(F.expr("r.class != m.class") & alike("r", "m", share))
-    return met.select(F.least("r.class", "m.class").alias("a"), F.greatest("r.class", "m.class").alias("b"))
+    met = many.join(ends, "key").select(F.explode(F.array("lo", "hi")).alias("x"), side.alias("m")).filter(F.expr("x.class != m.class") & alike("x", "m", _share()))
+    return met.select(F.least("x.class", "m.class").alias("a"), F.greatest("x.class", "m.class").alias("b"))
+
+
+def rest(large: DataFrame, comp: DataFrame) -> DataFrame:
+    """a < b: the pairs of large buckets that may join two components of comp(class, comp) and whose fingerprints agree enough.
+
+    In each bucket the members outside its largest component are compared with all members, in salted blocks, so no pair that could
+    join two components is left out and one component of any size costs nothing. Where more than SPLIT members are outside, the bucket
+    is parted by a further equal symbol first, up to three times: pairs that agree enough share that many.
+    """
+    rows = large.join(comp, "class", "left").select("key", "class", SIGN, F.coalesce("comp", "class").alias("comp"), F.col("key").alias("part"), F.lit(-1).alias("last"))
+    out = None
+    for level in range(SPLITS + 1):
+        per = rows.groupBy("part", "comp").agg(F.count("*").alias("c")).groupBy("part")
+        per = per.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest")).filter("rest > 0")
+        rows = materialise(rows.join(per, "part"), "large")
+        again = rows.filter(F.col("rest") > SPLIT)
+        done = level == SPLITS or again.isEmpty()
+        met = _blocks(rows if done else rows.filter(F.col("rest") <= SPLIT))
+        out = met if out is None else out.unionByName(met)
+        if done:
+            return out.distinct()
+        at = F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("at")
+        free = again.select("key", "class", SIGN, "comp", "part", "last", at).filter(F.col("at") > F.col("last"))
+        ball = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)) for i, j in BALLS]), (F.shiftright("key", 1).bitwiseAND(F.lit(15)) + 1).cast("int"))
+        free = free.filter(ball.bitwiseAND(F.expr("shiftleft(1, at)")) == 0)
+        symbol = F.expr(f"shiftright({SIGN}, 4 * at) & 15")
+        rows = free.select("key", "class", SIGN, "comp", F.xxhash64("part", "at", symbol).alias("part"), F.col("at").alias("last"))
+    raise AssertionError
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    blocks, salts = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("n") / (8 * BLOCK)).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x = rows.filter("comp != top").select("part", "key", "class", SIGN, "comp", "top", own(blocks, 1).alias("block"), every(salts).alias("salt"))
+    y = rows.select("part", "class", SIGN, "comp", own(salts, 2).alias("salt"), every(blocks).alias("block"))
+    apart = F.expr("x.part = y.part and x.block = y.block and x.salt = y.salt and x.comp != y.comp and (y.comp = x.top or x.class < y.class)")
+    met = x.alias("x").join(y.alias("y"), apart & alike("x", "y", _share()))
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+
+
+def linked(keyed: DataFrame, texts: DataFrame, decide, only=lambda pairs: pairs) -> DataFrame:
+    """a, b: links between classes of keyed(class, SIGN, key) whose wording passes decide; only() filters the pairs before."""
+    pairs, large = meeting(keyed)
+    links = materialise(verified(only(pairs), texts, decide), "links")
+    if large.isEmpty():
+        return links
+    return links.unionByName(verified(only(rest(large, components(links))), texts, decide)).distinct()
 
 
 def keyed_of(classes: DataFrame) -> DataFrame:
@@ -228,12 +288,9 @@ def agreement(a: str, b: str) -> tuple[float, float, float]:
     return both / max(1, len(x | y)), both / max(1, min(len(x), len(y))), min(len(a), len(b)) / max(1, len(a), len(b))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, decide) -> DataFrame:
-    """Pairs whose wording passes decide(jaccard, containment, length ratio). classes: class, rep (the id whose text stands for it)."""
+def verified(pairs: DataFrame, texts: DataFrame, decide) -> DataFrame:
+    """Pairs whose wording passes decide(jaccard, containment, length ratio). texts: class, text (levelled)."""
     pairs = materialise(pairs, "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("rep").alias("id")), "class")
-    level = F.pandas_udf(lambda t: pd.Series(level_many(list(t))), "string")
-    texts = materialise(used.join(rows.select("id", "text"), "id").dropDuplicates(["class"]).select("class", level("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,10 +320,9 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
 
 def near_groups(rows: DataFrame, decide=None, extra: str = "") -> DataFrame:
     """id, class, comp and extra columns of every row of rows(id, text, ...): rows of one comp are copies of one text."""
-    heavy, _ = count_heavy(rows)
-    prints = materialise(fingerprints(rows, heavy, extra), "prints")
-    classes = materialise(prints.groupBy("class").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first(SIGN).alias(SIGN)), "classes")
-    pairs = meeting(keyed_of(classes))
-    links = verified(pairs, rows, classes, decide or (lambda j, c, r: j >= SIMILAR))
-    comp = components(links)
-    return prints.drop("keys", SIGN).join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    level = materialise(level_rows(rows, extra), "level")
+    texts = materialise(level.groupBy("class").agg(F.first("text").alias("text")), "texts")
+    heavy, _ = count_heavy(level)
+    classes = materialise(fingerprints(texts, heavy), "classes")
+    comp = components(linked(keyed_of(classes), texts, decide or (lambda j, c, r: j >= SIMILAR)))
+    return level.drop("text").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
