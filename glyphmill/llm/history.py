@@ -164,7 +164,7 @@ class History:
         rows = batch.filter(long).select(F.col("ingest_seq").alias("id"), "text", "rank")
         prints = materialise(level_rows(spread(rows), ", rank long"), "prints")
         if self.meta["heavy"] is None:
-            self.meta["heavy"] = [int(x) for x in count_heavy(prints)[0]]
+            self.meta["heavy"] = [int(x) for x in count_heavy(prints.select("text").distinct())[0]]
             w = learn(rows)
             self.meta["weights"] = [w.bias, *w.fields]
         weights = Weights(self.meta["weights"][0], tuple(self.meta["weights"][1:]))

@@ -4,7 +4,7 @@ A text becomes a fingerprint of SEGMENTS x WIDTH symbols: its word and character
 keeps its smallest hash. The Hamming distance of two fingerprints is the number of symbols in which they differ. Each segment has
 tables that leave out one of its symbols in turn: they enumerate the ball of radius 1 around the segment with a wildcard, so texts meet
 where a segment differs in one symbol at most, and every pair at a distance under 2 x SEGMENTS is found. The complete distance of the
-pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all texts
+pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all distinct texts
 holds (templates, boilerplate) would fill these tables: they are found by lossy counting, and their number is bounded by grams per text / HEAVY
 whatever the size of the collection. Each text has the tables of its fingerprint without them, and those of its fingerprint of all grams
 where the two differ, in which the groups of copies meet that are so large that their own grams are that frequent.
@@ -86,7 +86,7 @@ def level_rows(rows: DataFrame, extra: str = "") -> DataFrame:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """h, c: in how many of texts(text: levelled) each gram is; the row of h = 0 counts the texts."""
+    """h, c: in how many of texts(text: levelled, distinct) each gram is; the row of h = 0 counts the texts."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -117,7 +117,9 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 
 def count_heavy(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of the grams of at least HEAVY of the texts (HEAVY_LEAST at least), and the number of texts(text: levelled).
+    """Hashes of the grams of at least HEAVY of the texts (HEAVY_LEAST at least), and the number of texts(text: levelled, distinct).
+
+    The texts are distinct, so that a text posted often does not make its own wording boilerplate.
     """
     n = texts.count()
     got = count_grams(texts).filter((F.col("h") != 0) & (F.col("c") >= max(HEAVY_LEAST, HEAVY * n))).select("h").toPandas()
@@ -322,7 +324,7 @@ def near_groups(rows: DataFrame, decide=None, extra: str = "") -> DataFrame:
     """id, class, comp and extra columns of every row of rows(id, text, ...): rows of one comp are copies of one text."""
     level = materialise(level_rows(rows, extra), "level")
     texts = materialise(level.groupBy("class").agg(F.first("text").alias("text")), "texts")
-    heavy, _ = count_heavy(level)
+    heavy, _ = count_heavy(texts)
     classes = materialise(fingerprints(texts, heavy), "classes")
     comp = components(linked(keyed_of(classes), texts, decide or (lambda j, c, r: j >= SIMILAR)))
     return level.drop("text").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
