@@ -5,7 +5,7 @@ keeps its smallest hash. The Hamming distance of two fingerprints is the number
 tables that leave out one of its symbols in turn: they enumerate the ball of radius 1 around the segment with a wildcard, so texts meet
 where a segment differs in one symbol at most, and every pair at a distance under 2 x SEGMENTS is found. The complete distance of the
 pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all distinct texts
-holds (templates, boilerplate) would fill these tables: they are found by lossy counting, and their number is bounded by grams per text / HEAVY
+holds (templates, boilerplate) would fill these tables: they are counted exactly, and their number is bounded by grams per text / HEAVY
 whatever the size of the collection. Each text has the tables of its fingerprint without them, and those of its fingerprint of all grams
 where the two differ, in which the groups of copies meet that are so large that their own grams are that frequent.
 """
@@ -86,7 +86,7 @@ def level_rows(rows: DataFrame, extra: str = "") -> DataFrame:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """h, c: in how many of texts(text: levelled, distinct) each gram is; the row of h = 0 counts the texts."""
+    """h, c: in how many of texts(text: levelled, distinct) each gram is; the row of h = 0 counts the texts. Exact in any layout."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -94,8 +94,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= max(2, HEAVY * texts / 2)
-            return pd.DataFrame({"h": np.append(h[keep].view(np.int64), 0), "c": np.append(c[keep], texts)})
+            return pd.DataFrame({"h": np.append(h.view(np.int64), 0), "c": np.append(c, texts)})
 
         for b in batches:
             t = list(b["text"])
