@@ -244,6 +244,14 @@ def content_fingerprint(spark, sf):
     return load(spark, sf, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", T.content_fingerprint(F.col("text")).alias("fingerprint"))
 
 
+def content_fingerprint_all(spark, sf):
+    """Fingerprints of all documents, null for null text. SQL has no compatibility form or full case folding, so no oracle."""
+    return load(spark, sf, "documents").select("doc_id", T.content_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+WITHOUT_ORACLE = {"content_fingerprint_all": content_fingerprint_all}
+
+
 @query("select o_orderkey, concat('ord_', substr(sha256(concat_ws(':', cast(o_custkey as varchar), o_orderpriority)),1,20)) id from orders")
 def stable_ids(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", T.stable_id("ord_", F.col("o_custkey").cast("string"), F.col("o_orderpriority")).alias("id"))
