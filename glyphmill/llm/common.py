@@ -142,7 +142,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.written_at = path
+    return got
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table of materialise() once nothing reads it any more; other data frames are left alone."""
+    at = getattr(df, "written_at", None)
+    if at:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rows_of(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -4,34 +4,31 @@ A text becomes a fingerprint of SEGMENTS x WIDTH symbols: its word and character
 keeps its smallest hash. The Hamming distance of two fingerprints is the number of symbols in which they differ. Each segment has
 tables that leave out one of its symbols in turn: they enumerate the ball of radius 1 around the segment with a wildcard, so texts meet
 where a segment differs in one symbol at most, and every pair at a distance under 2 x SEGMENTS is found. The complete distance of the
-pairs that meet is taken next, and the wording of those within it is compared exactly. Grams that a fixed share of all distinct texts
-holds (templates, boilerplate) would fill these tables: they are counted exactly, and their number is bounded by grams per text / HEAVY
-whatever the size of the collection. Each text has the tables of its fingerprint without them, and those of its fingerprint of all grams
-where the two differ, in which the groups of copies meet that are so large that their own grams are that frequent.
+pairs that meet is taken in the same join, and the wording of those within it is compared exactly, as sets of hashed grams.
+
+A fingerprint depends on its text alone, so tables of earlier batches stay valid. Buckets of boilerplate grow with the collection: one of
+over LIMIT texts is parted by every further symbol, again and again. Pairs within the distance share that many symbols, so none is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, level_many, materialise
+from .common import codepoints, level_many, materialise, release
 
 SEGMENTS, WIDTH = 5, 3
 SYMBOLS = SEGMENTS * WIDTH
 BALLS = [(g * WIDTH + i, g * WIDTH + j) for g in range(SEGMENTS) for i in range(WIDTH) for j in range(i + 1, WIDTH)]  # a segment without one symbol
-HEAVY = 2e-4  # share of the texts from which on a gram is boilerplate
-HEAVY_LEAST = 16
-CHUNK = 3_000_000  # grams counted at once
-SMALL_BUCKET = 40  # up to here all members meet at once
-SPLIT, SPLITS = 4096, 3  # members outside the largest component from which on a bucket is parted by a further symbol, and how often
-BLOCK = 512  # members compared at once in a large bucket
-RARE_SHARE, WHOLE_SHARE = 0.25, 0.33  # share of symbols that have to agree before the wording is compared, by kind of table
-SIGN = "sign"  # the fingerprint in four bits a symbol; 0 is an empty bin
+LIMIT = 1000  # texts of a bucket that are compared at once; larger ones are parted by a further symbol
+SPLITS = 3  # how often: pairs within the distance have at least 2 + SPLITS symbols in common, empty ones included
+BLOCK = 512  # members compared at once in a bucket that is large still
+SHARE = 0.33  # share of the filled symbols that have to agree: the complete distance
+SIGN = ["sign", "more"]  # the fingerprint in eight bits a symbol, four of each in either column; 0 in sign is an empty bin
 SIMILAR = 0.45
 LONG = 24
 
@@ -46,83 +43,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, 64-bit hash) of every gram: five characters in scripts without spaces, else about two words."""
-    joined = (" " * _PAD).join(texts) + " " * _PAD
-    cp = codepoints(joined)
-    n = len(cp)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + _PAD
-    doc = np.repeat(np.arange(len(texts)), lens)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _B)]), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BI)]), dtype=np.uint64)
-    pre = np.concatenate([[np.uint64(0)], np.cumsum(cp.astype(np.uint64) * power[:-1], dtype=np.uint64)])
-
-    def at(i: np.ndarray, k: int) -> np.ndarray:
-        return mix((pre[i + k] - pre[i]) * inverse[i] + np.uint64(k))
-
-    blank = cp == 32
-    dense = ((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0x0E00) & (cp <= 0x0E7F)) | (cp >= 0x20000)
-    start = ~blank & np.concatenate([[True], blank[:-1]])
-    i5 = np.flatnonzero(dense)
-    hangul = (cp >= 0xAC00) & (cp <= 0xD7AF)
-    i6 = np.flatnonzero(start & hangul)
-    i12 = np.flatnonzero(start & ~hangul & ~dense)
-    where = np.concatenate([i5, i6, i12])
-    return doc[where], np.concatenate([at(i5, 5), at(i6, 6), at(i12, 12)])
-
-
-def level_rows(rows: DataFrame, extra: str = "") -> DataFrame:
-    """id, class (64-bit hash of the levelled text), levelled text and extra columns of rows(id, text, ...)."""
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for b in batches:
-            t = level_many(list(b["text"]))
-            h = np.array([xxhash.xxh3_64_intdigest(x) for x in t], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "class": h, "text": t, **{c: b[c] for c in b.columns if c not in ("id", "text")}})
-
-    return rows.mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, class long, text string{extra}")
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """h, c: in how many of texts(text: levelled, distinct) each gram is; the row of h = 0 counts the texts. Exact in any layout."""
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = texts = 0
-
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"h": np.append(h.view(np.int64), 0), "c": np.append(c, texts)})
-
-        for b in batches:
-            t = list(b["text"])
-            if not t:
-                continue
-            d, h = grams(t)
-            h = np.where(h == 0, np.uint64(1), h)
-            order = np.lexsort((h, d))
-            d, h = d[order], h[order]
-            held.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])] if len(h) else h)
-            size, texts = size + len(h), texts + len(t)
-            if size >= CHUNK:
-                yield flush()
-                held, size, texts = [], 0, 0
-        if texts:
-            yield flush()
-
-    return texts.select("text").mapInPandas(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def count_heavy(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of the grams of at least HEAVY of the texts (HEAVY_LEAST at least), and the number of texts(text: levelled, distinct).
-
-    The texts are distinct, so that a text posted often does not make its own wording boilerplate.
-    """
-    n = texts.count()
-    got = count_grams(texts).filter((F.col("h") != 0) & (F.col("c") >= max(HEAVY_LEAST, HEAVY * n))).select("h").toPandas()
-    return np.sort(got["h"].to_numpy(np.int64).view(np.uint64)), n
+class Hashed:
+    """Polynomial hashes of all stretches of levelled texts, which are joined with padding between them."""
+
+    def __init__(self, texts: list[str]):
+        self.cp = codepoints((" " * _PAD).join(texts) + " " * _PAD)
+        n = len(self.cp)
+        self.doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + _PAD)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _B)]), dtype=np.uint64)
+        self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BI)]), dtype=np.uint64)
+        self.pre = np.concatenate([[np.uint64(0)], np.cumsum(self.cp.astype(np.uint64) * power[:-1], dtype=np.uint64)])
+        blank = self.cp == 32
+        self.start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        self.end = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+        cp = self.cp
+        self.dense = ((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0x0E00) & (cp <= 0x0E7F)) | (cp >= 0x20000)
+        self.hangul = (cp >= 0xAC00) & (cp <= 0xD7AF)
+
+    def at(self, i: np.ndarray, k) -> np.ndarray:
+        return mix((self.pre[i + k] - self.pre[i]) * self.inverse[i] + np.asarray(k).astype(np.uint64))
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of every gram of the fingerprint: five characters in scripts without spaces, else about two words."""
+        first = self.start
+        parts = [(np.flatnonzero(self.dense), 5), (first[self.hangul[first]], 6), (first[~self.hangul[first] & ~self.dense[first]], 12)]
+        return self.doc[np.concatenate([i for i, _ in parts])], np.concatenate([self.at(i, k) for i, k in parts])
+
+    def wording(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the grams of the exact comparison: word pairs, and three characters in scripts without spaces; sorted, distinct."""
+        s, e = self.start, self.end
+        h = self.at(s, e - s)
+        doc = self.doc[s]
+        after = np.append(np.where(doc[1:] == doc[:-1], h[1:], np.uint64(0)), np.uint64(0)) if len(s) else h
+        dense = self.dense[s] & ~self.hangul[s]
+        pair = mix(h + mix(after + np.uint64(1)))[~dense]
+        n = np.maximum(1, (e - s)[dense] - 2)
+        own = np.repeat(np.arange(len(n)), n)
+        i = s[dense][own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        three = self.at(i, np.minimum(3, e[dense][own] - i))
+        d, h = np.concatenate([doc[~dense], doc[dense][own]]), (np.concatenate([pair, three]) >> np.uint64(32)).astype(np.int64)
+        both = np.unique(d << 32 | h)
+        return both >> 32, (both & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
+def cut(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
+    """values by owner 0 .. n - 1, which is in order."""
+    at = np.searchsorted(owner, np.arange(n + 1))
+    return [values[a:z] for a, z in zip(at[:-1], at[1:])]
 
 
 def bins(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -132,45 +99,54 @@ def bins(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     slot, h = slot[order], h[order]
     first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
     out = np.zeros(n * SYMBOLS, np.uint64)
-    out[slot[first]] = h[first]
+    out[slot[first]] = np.maximum(h[first], np.uint64(1))
     return out.reshape(n, SYMBOLS)
 
 
-def fingerprints(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """class, keys (the table keys of the fingerprints), SIGN of texts(class, text: levelled).
+def sketch(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of levelled texts the table keys (one for each ball with a filled symbol), the columns of SIGN and the hashed wording."""
+    hashed = Hashed(texts)
+    full = bins(*hashed.grams(), len(texts))
+    balls = np.arange(len(BALLS), dtype=np.uint64)
+    left, right = full[:, [i for i, _ in BALLS]], full[:, [j for _, j in BALLS]]
+    key = (mix(mix(left + balls + np.uint64(1)) + right) & ~np.uint64(15) | balls).view(np.int64)
+    there = (left | right) != 0
+    keys = [k[t] for k, t in zip(key, there)]
+    low = np.where(full != 0, (full >> np.uint64(40)) % np.uint64(15) + np.uint64(1), np.uint64(0))
+    high = np.where(full != 0, (full >> np.uint64(32)) & np.uint64(15), np.uint64(0))
+    at = np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(4)
+    sign = np.stack([(x << at).sum(1, dtype=np.uint64).view(np.int64) for x in (low, high)], 1)
+    return keys, sign, cut(*hashed.wording(), len(texts))
+
 
-    Each ball of radius 1 has a key of the rare grams (lowest bit 1) and, where that differs, one of all grams; bits 1 to 4 tell the ball.
+def sketched(rows: DataFrame, extra: str = "", long_only: bool = False) -> DataFrame:
+    """id, class (64-bit hash of the levelled text) and extra columns of every row of rows(id, text, ...), and keys, SIGN and words.
+
+    The last three are null where the class came before in the same batch of rows, so a text that a third of all rows hold is sketched once
+    a batch; with long_only, all four are null for a null text. The text itself moves no further.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heavy = sent.value
-        balls = np.arange(len(BALLS), dtype=np.uint64)
+        import xxhash
+
         for b in batches:
-            if not len(b):
-                continue
-            t = list(b["text"])
-            d, h = grams(t)
-            full = bins(d, h, len(t))
-            if len(heavy) and len(h):
-                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-                keep = heavy[at] != h
-                d, h = d[keep], h[keep]
-            rare = bins(d, h, len(t))
-            keys, there = [], []
-            for kind, part in ((1, rare), (0, full)):
-                left, right = part[:, [i for i, _ in BALLS]], part[:, [j for _, j in BALLS]]
-                key = mix(mix(left + balls + np.uint64(1)) + right) & ~np.uint64(31)
-                keys.append(key | (balls << np.uint64(1)) | np.uint64(kind))
-                there.append((left | right) != 0)
-            there[1] &= keys[0] >> np.uint64(1) != keys[1] >> np.uint64(1)
-            key, there = np.concatenate(keys, 1).view(np.int64), np.concatenate(there, 1)
-            key, cut = key[there], np.concatenate([[0], np.cumsum(there.sum(1))])
-            sign = np.where(full != 0, (full >> np.uint64(40)) % np.uint64(15) + np.uint64(1), np.uint64(0))
-            sign = (sign << (np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"class": b["class"], "keys": [key[a:z] for a, z in zip(cut[:-1], cut[1:])], SIGN: sign})
-
-    return texts.select("class", "text").mapInPandas(task, f"class long, keys array<long>, {SIGN} long")
+            has = np.flatnonzero(b["text"].notna()) if long_only else np.arange(len(b))
+            t = level_many(list(b["text"].iloc[has]))
+            h = np.array([xxhash.xxh3_64_intdigest(x) for x in t], np.uint64).view(np.int64)
+            _, first = np.unique(h, return_index=True)
+            keys, sign, words = sketch([t[i] for i in first]) if len(first) else ([], np.zeros((0, 2), np.int64), [])
+            at = has[first]
+            whole, *signs = (pd.Series(pd.NA, range(len(b)), "Int64") for _ in range(3))
+            whole.iloc[has] = h
+            for i, x in enumerate(signs):
+                x.iloc[at] = sign[:, i]
+            lists = {"keys": np.full(len(b), None, object), "words": np.full(len(b), None, object)}
+            for i, k, w in zip(at, keys, words):
+                lists["keys"][i], lists["words"][i] = k, w
+            rest = {c: b[c].reset_index(drop=True) for c in b.columns if c not in ("id", "text")}
+            yield pd.DataFrame({"id": b["id"].reset_index(drop=True), "class": whole, **rest, "keys": lists["keys"], **dict(zip(SIGN, signs)), "words": lists["words"]})
+
+    return rows.mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, class long{extra}, keys array<long>, {SIGN[0]} long, {SIGN[1]} long, words array<int>")
 
 
 def filled(x: Column) -> Column:
@@ -179,151 +155,139 @@ def filled(x: Column) -> Column:
     return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(F.lit(int("8" * SYMBOLS, 16))))
 
 
-def alike(a: str, b: str, share: Column) -> Column:
-    """Whether enough symbols of two fingerprints agree: the complete distance, up to chance hits of four bits."""
-    x, y = F.col(f"{a}.{SIGN}"), F.col(f"{b}.{SIGN}")
-    either, differ = filled(x.bitwiseOR(y)), filled(x.bitwiseXOR(y))
-    return either - differ >= either * share
-
-
-def meeting(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a < b: pairs of classes of keyed(class, SIGN, key) that meet and whose fingerprints agree enough, rows of the large buckets).
+def alike(a: str, b: str) -> Column:
+    """Whether enough symbols of two fingerprints agree: the complete distance, up to chance hits of eight bits."""
+    x, y = ([F.col(f"{side}.{c}") for c in SIGN] for side in (a, b))
+    either, differ = filled(x[0].bitwiseOR(y[0])), filled(x[0].bitwiseXOR(y[0]).bitwiseOR(x[1].bitwiseXOR(y[1])))
+    return either - differ >= either * SHARE
 
-    All members of a bucket of up to SMALL_BUCKET classes meet. Those of a larger one meet its first and last class here, which joins the
-    members of a group of copies cheaply; whom that leaves apart is compared by rest() once these pairs are verified.
-    """
-    keyed = keyed.repartition("key")
-    rows = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    large = rows.filter(F.col("n") > SMALL_BUCKET).select(F.col("class").alias("a"), F.col(SIGN).alias("b"), "key")
-    none = F.lit(None).cast("long").alias("key")
-    both = materialise(_within(rows).unionByName(_star(rows)).select("a", "b", none).unionByName(large), "met")  # one shuffle for both
-    pairs = both.filter("key is null").select("a", "b").distinct()
-    return pairs, both.filter("key is not null").select(F.col("a").alias("class"), F.col("b").alias(SIGN), "key")
 
+def keyed_of(classes: DataFrame) -> DataFrame:
+    """key, class, SIGN, fresh: the table rows of sketches; a class may repeat."""
+    return classes.filter("keys is not null").select(F.explode("keys").alias("key"), "class", *SIGN, F.lit(True).alias("fresh"))
 
-def _share() -> Column:
-    """Share of symbols that have to agree, by the kind of table of x.key."""
-    return F.when(F.col("x.key").bitwiseAND(F.lit(1)) == 1, RARE_SHARE).otherwise(WHOLE_SHARE)
 
+def meeting(keyed: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(a < b: pairs of classes of keyed(key, class, SIGN, fresh) that meet within the distance, rows of buckets large to the end).
 
-def _within(rows: DataFrame) -> DataFrame:
-    rows = rows.filter(F.col("n") <= SMALL_BUCKET).select("key", "class", SIGN)
-    met = rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key and x.class < y.class") & alike("x", "y", _share()))
+    keyed is partitioned by key (repartitioned, or the scan of a bucketed table), so nothing here moves by key again. At least one of a
+    pair is fresh. All members of a bucket of up to limit classes meet; a larger one is parted by every further symbol, SPLITS times.
+    """
+    size = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").drop("any")
+    some = keyed.join(size.filter(F.col("n") <= limit).select("key"), "key")
+    pairs = _within(some, keyed, "key")
+    large = materialise(size.filter(F.col("n") > limit), "large")
+    rows = None
+    if not large.isEmpty():
+        rows = keyed.join(large.select("key"), "key").groupBy("key", "class", *SIGN).agg(F.max("fresh").alias("fresh"))  # repeats of a class leave here
+        rows = materialise(rows.withColumn("part", F.col("key")).withColumn("last", F.lit(-1)), "large")
+        for level in range(SPLITS + 1):
+            n = rows.groupBy("part").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").drop("any")
+            sized = materialise(rows.join(n, "part"), "sized")
+            small, again = sized.filter(F.col("n") <= limit), sized.filter(F.col("n") > limit)
+            pairs = pairs.unionByName(_within(small, small, "part"))
+            rows = again
+            if level == SPLITS or again.isEmpty():
+                break
+            at = F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("at")
+            free = again.select("key", "class", *SIGN, "fresh", "part", "last", at).filter(F.col("at") > F.col("last"))
+            ball = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)) for i, j in BALLS]), (F.col("key").bitwiseAND(F.lit(15)) + 1).cast("int"))
+            free = free.filter(ball.bitwiseAND(F.expr("shiftleft(1, at)")) == 0)
+            symbol = [F.expr(f"shiftright({c}, 4 * at) & 15") for c in SIGN]
+            rows = free.select("key", "class", *SIGN, "fresh", F.xxhash64("part", "at", *symbol).alias("part"), F.col("at").alias("last"))
+            rows = materialise(rows, "parts")
+    return materialise(pairs.distinct(), "pairs"), rows
+
+
+def _within(x: DataFrame, y: DataFrame, by: str) -> DataFrame:
+    met = x.alias("x").join(y.alias("y"), F.expr(f"x.{by} = y.{by} and x.class < y.class and (x.fresh or y.fresh)") & alike("x", "y"))
     return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    many, side = rows.filter(F.col("n") > SMALL_BUCKET), F.struct("key", "class", SIGN)
-    ends = many.groupBy("key").agg(F.min(side).alias("lo"), F.max(side).alias("hi"))
-    met = many.join(ends, "key").select(F.explode(F.array("lo", "hi")).alias("x"), side.alias("m")).filter(F.expr("x.class != m.class") & alike("x", "m", _share()))
-    return met.select(F.least("x.class", "m.class").alias("a"), F.greatest("x.class", "m.class").alias("b"))
+def hub_pairs(hot: DataFrame) -> DataFrame:
+    """a < b: every member of the parts of hot with the smallest class of its part, within the distance."""
+    side = F.struct("class", *SIGN, "fresh")
+    ends = hot.groupBy("part").agg(F.min(side).alias("y"))
+    met = hot.join(ends, "part").select(side.alias("x"), "y").filter(F.expr("x.class != y.class and (x.fresh or y.fresh)") & alike("x", "y"))
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
-def rest(large: DataFrame, comp: DataFrame) -> DataFrame:
-    """a < b: the pairs of large buckets that may join two components of comp(class, comp) and whose fingerprints agree enough.
+def rest_pairs(hot: DataFrame, comp: DataFrame) -> DataFrame:
+    """a < b: the pairs of hot parts within the distance that may join two components of comp(class, comp).
 
-    In each bucket the members outside its largest component are compared with all members, in salted blocks, so no pair that could
-    join two components is left out and one component of any size costs nothing. Where more than SPLIT members are outside, the bucket
-    is parted by a further equal symbol first, up to three times: pairs that agree enough share that many.
+    In each part the members outside its largest component are compared with all members, in salted blocks, so no pair that could join
+    two components is left out and one component of any size costs nothing.
     """
-    rows = large.join(comp, "class", "left").select("key", "class", SIGN, F.coalesce("comp", "class").alias("comp"), F.col("key").alias("part"), F.lit(-1).alias("last"))
-    out = None
-    for level in range(SPLITS + 1):
-        per = rows.groupBy("part", "comp").agg(F.count("*").alias("c")).groupBy("part")
-        per = per.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest")).filter("rest > 0")
-        rows = materialise(rows.join(per, "part"), "large")
-        again = rows.filter(F.col("rest") > SPLIT)
-        done = level == SPLITS or again.isEmpty()
-        met = _blocks(rows if done else rows.filter(F.col("rest") <= SPLIT))
-        out = met if out is None else out.unionByName(met)
-        if done:
-            return out.distinct()
-        at = F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("at")
-        free = again.select("key", "class", SIGN, "comp", "part", "last", at).filter(F.col("at") > F.col("last"))
-        ball = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)) for i, j in BALLS]), (F.shiftright("key", 1).bitwiseAND(F.lit(15)) + 1).cast("int"))
-        free = free.filter(ball.bitwiseAND(F.expr("shiftleft(1, at)")) == 0)
-        symbol = F.expr(f"shiftright({SIGN}, 4 * at) & 15")
-        rows = free.select("key", "class", SIGN, "comp", F.xxhash64("part", "at", symbol).alias("part"), F.col("at").alias("last"))
-    raise AssertionError
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
+    rows = hot.select("part", "class", *SIGN, "fresh").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    per = rows.groupBy("part", "comp").agg(F.count("*").alias("c")).groupBy("part")
+    per = per.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("rest")).filter("rest > 0")
+    rows = materialise(rows.join(per, "part"), "hot")
     blocks, salts = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("n") / (8 * BLOCK)).cast("int")
     own = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    x = rows.filter("comp != top").select("part", "key", "class", SIGN, "comp", "top", own(blocks, 1).alias("block"), every(salts).alias("salt"))
-    y = rows.select("part", "class", SIGN, "comp", own(salts, 2).alias("salt"), every(blocks).alias("block"))
-    apart = F.expr("x.part = y.part and x.block = y.block and x.salt = y.salt and x.comp != y.comp and (y.comp = x.top or x.class < y.class)")
-    met = x.alias("x").join(y.alias("y"), apart & alike("x", "y", _share()))
-    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-
-
-def linked(keyed: DataFrame, texts: DataFrame, decide, only=lambda pairs: pairs) -> DataFrame:
-    """a, b: links between classes of keyed(class, SIGN, key) whose wording passes decide; only() filters the pairs before."""
-    pairs, large = meeting(keyed)
-    links = materialise(verified(only(pairs), texts, decide), "links")
-    if large.isEmpty():
-        return links
-    return links.unionByName(verified(only(rest(large, components(links))), texts, decide)).distinct()
+    x = rows.filter("comp != top").select("part", "class", *SIGN, "fresh", "comp", "top", own(blocks, 1).alias("block"), every(salts).alias("salt"))
+    y = rows.select("part", "class", *SIGN, "fresh", "comp", own(salts, 2).alias("salt"), every(blocks).alias("block"))
+    apart = F.expr("x.part = y.part and x.block = y.block and x.salt = y.salt and x.comp != y.comp and (y.comp = x.top or x.class < y.class) and (x.fresh or y.fresh)")
+    met = x.alias("x").join(y.alias("y"), apart & alike("x", "y"))
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
-def keyed_of(classes: DataFrame) -> DataFrame:
-    return classes.select("class", SIGN, F.explode("keys").alias("key"))
+Decision = Callable[[Column, Column, Column], Column]
 
 
-def wording(t: str) -> set:
-    """Grams for the exact comparison: word pairs, and three characters in scripts without spaces."""
-    out, words = set(), t.split()
-    for i, w in enumerate(words):
-        if w[0] >= "぀" and not "가" <= w[0] <= "힯":
-            out.update(w[j : j + 3] for j in range(max(1, len(w) - 2)))
-        else:
-            out.add((w, words[i + 1] if i + 1 < len(words) else ""))
-    return out
+def similar(jaccard: Column, containment: Column, ratio: Column) -> Column:
+    return jaccard >= SIMILAR
 
 
-def agreement(a: str, b: str) -> tuple[float, float, float]:
-    """Jaccard similarity and containment of the wording, ratio of the lengths."""
-    x, y = wording(a), wording(b)
-    both = len(x & y)
-    return both / max(1, len(x | y)), both / max(1, min(len(x), len(y))), min(len(a), len(b)) / max(1, len(a), len(b))
+def verified(pairs: DataFrame, words: DataFrame, decide: Decision) -> DataFrame:
+    """a, b: pairs whose wording passes decide(jaccard, containment, ratio of the sizes). words: class, words; one row for each class."""
+    side = lambda c, w: words.select(F.col("class").alias(c), F.col("words").alias(w))
+    both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b")
+    n = F.size(F.array_intersect("wa", "wb")).cast("double")
+    x, y = F.size("wa"), F.size("wb")
+    some = lambda c: F.greatest(F.lit(1), c)
+    fields = F.struct((n / some(x + y - n)).alias("j"), (n / some(F.least(x, y))).alias("c"), (F.least(x, y) / some(F.greatest(x, y))).alias("r"))
+    got = both.select("a", "b", fields.alias("f"))
+    return got.filter(decide(F.col("f.j"), F.col("f.c"), F.col("f.r"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, decide) -> DataFrame:
-    """Pairs whose wording passes decide(jaccard, containment, length ratio). texts: class, text (levelled)."""
-    pairs = materialise(pairs, "pairs")
-    both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+def linked(keyed: DataFrame, words: DataFrame, decide: Decision, comps=None, limit: int = LIMIT) -> DataFrame:
+    """a, b: links between classes of keyed (see meeting) whose wording passes decide.
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            keep = [decide(*agreement(x, y)) for x, y in zip(p["ta"], p["tb"])]
-            yield p.loc[np.array(keep, bool), ["a", "b"]]
-
-    return both.select("a", "b", "ta", "tb").mapInPandas(task, "a long, b long")
+    Where buckets stay large to the end, their members meet a hub first, and what the links so far leave apart is compared in full;
+    comps(links) gives the components under those links.
+    """
+    pairs, hot = meeting(keyed, limit)
+    links = materialise(verified(pairs, words, decide), "links")
+    if hot is None or hot.isEmpty():
+        return links
+    links = materialise(links.unionByName(verified(hub_pairs(hot), words, decide)).distinct(), "links")
+    rest = verified(rest_pairs(hot, (comps or components)(links)), words, decide)
+    return materialise(links.unionByName(rest).distinct(), "links")
 
 
-def components(links: DataFrame, limit: int = 50) -> DataFrame:
-    """class, comp (smallest class reached): union-find by hooking to the smallest neighbour and shortcutting, as joins."""
-    links = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "class")
-    label = materialise(label, "label")
-    for _ in range(limit):
+def components(links: DataFrame) -> DataFrame:
+    """class, comp (smallest class reached): union-find by hooking to the smallest neighbour and shortcutting, as joins, until it settles."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = materialise(both, "both")
+    label = materialise(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "class"), "label")
+    while True:
         near = links.join(label.select(F.col("class").alias("b"), "comp"), "b").select(F.col("a").alias("class"), "comp")
         hook = near.unionByName(label).groupBy("class").agg(F.min("comp").alias("comp"))
         jump = hook.join(label.select(F.col("class").alias("comp"), F.col("comp").alias("up")), "comp", "left")
         new = materialise(jump.select("class", F.coalesce(F.least("up", "comp"), F.col("comp")).alias("comp")), "label")
-        moved = new.join(label.withColumnRenamed("comp", "was"), "class").filter("comp != was").limit(1).count()
+        moved = not new.join(label.withColumnRenamed("comp", "was"), "class").filter("comp != was").isEmpty()
+        release(label)
         label = new
         if not moved:
+            release(links)
             return label
-    raise RuntimeError("components did not settle")
 
 
-def near_groups(rows: DataFrame, decide=None, extra: str = "") -> DataFrame:
-    """id, class, comp and extra columns of every row of rows(id, text, ...): rows of one comp are copies of one text."""
-    level = materialise(level_rows(rows, extra), "level")
-    texts = materialise(level.groupBy("class").agg(F.first("text").alias("text")), "texts")
-    heavy, _ = count_heavy(texts)
-    classes = materialise(fingerprints(texts, heavy), "classes")
-    comp = components(linked(keyed_of(classes), texts, decide or (lambda j, c, r: j >= SIMILAR)))
-    return level.drop("text").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+def near_groups(rows: DataFrame, decide: Decision = similar, limit: int = LIMIT) -> DataFrame:
+    """id, class, comp of every row of rows(id, text): rows of one comp are copies of one text."""
+    found = materialise(sketched(rows), "sketches")
+    keyed = keyed_of(found).repartition("key")
+    words = found.filter("words is not null").select("class", "words").dropDuplicates(["class"])
+    comp = components(linked(keyed, words, decide, limit=limit))
+    return found.select("id", "class").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))

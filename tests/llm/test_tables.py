@@ -7,6 +7,8 @@ import pytest
 from glyphmill.llm import common, encoding, history, language, leakage, lookalike, moderation, near, near_copies, personal, queries, sentences
 from pyspark.sql import functions as F
 
+from . import brute
+
 SF = "/root/testdata/sf0.001"
 LONG_A = "the event shop of Torvel sold out of amber screws within forty minutes and the guild of Parnim left the old harbour for good"
 LONG_B = "loading into Wynras from the travel screen crashes my desktop about nine times a week since the patch of last Thursday evening"
@@ -20,7 +22,7 @@ def test_copies_equal_brute_force(spark):
     b = spark.read.parquet("/root/testdata/sf0.01/bilibili.parquet").select("evidence_id", "original_text").distinct()
     rows = [r for r in b.collect() if r[1] and len(r[1]) >= near.LONG]
     level = dict(zip([r[0] for r in rows], common.level_many([r[1] for r in rows])))
-    words = {k: near.wording(v) for k, v in level.items()}
+    words = {k: brute.wording(v) for k, v in level.items()}
     index, parent = {}, {k: k for k in level}
 
     def root(x):
@@ -67,27 +69,66 @@ def log_rows(spark):
     return log.select("ingest_seq", "identity_key", "content_fingerprint", "text", "rank").unionByName(spark.createDataFrame(extra, "ingest_seq long, identity_key string, content_fingerprint string, text string, rank long"))
 
 
-def test_repeats_and_batches(spark, tmp_path):
-    """Batches against the store give what one pass over the whole log gives."""
+def scored(weights):
+    """The linkage decision in Python."""
+
+    def like(a, b):
+        x = history.agreement(a, b)
+        return weights.bias + sum(w * v for w, v in zip(weights.fields, x)) > 0
+
+    return like
+
+
+def test_batches_equal_brute_force(spark, tmp_path):
+    """Batches against the store, with a store opened anew and a compaction between them, give what union-find over all pairs gives."""
     log = common.materialise(log_rows(spark), "log")
-    whole = spots(history.repeats(log).collect())
-    assert {(9002, "near"), (9003, "identity")} <= whole and not any(s in (9004, 9005) for s, _ in whole)
-    assert len({s for s, _ in whole}) == len(whole)
     ranks = sorted(r[0] for r in log.select("rank").filter("rank is not null").distinct().collect())
-    store, parts = history.History(spark, str(tmp_path)), set()
-    for cut in (ranks[:2], ranks[2:-2], ranks[-2:]):
-        parts |= spots(store.add(log.filter(F.col("rank").isin(cut))).collect())
-    first = lambda s: {(a, b) for a, b in s if b != "near"}
-    assert first(parts) == first(whole)
-    near_of = lambda s: {a for a, b in s if b == "near"}
-    assert len(near_of(parts) ^ near_of(whole)) <= 1  # the boilerplate and the weights of a store are those of its first batch
-    assert store.add(log.limit(0)).count() == 0 and history.History(spark, str(tmp_path)).meta["version"] == 4
+    cuts, got = [ranks[:2], ranks[2:-2], ranks[-2:]], set()
+    for i, cut in enumerate(cuts):
+        store = history.History(spark, str(tmp_path))
+        got |= spots(store.add(log.filter(F.col("rank").isin(cut)).withColumn("class", F.lit("x"))).collect())
+        if i == 1:
+            store.compact()
+        store.close()
+    want = brute.repeats([tuple(r) for r in log.collect() if r.rank is not None], [set(c) for c in cuts], scored(store.weights))
+    assert got == want and {(9002, "near"), (9003, "identity")} <= got and len({s for s, _ in got}) == len(got)
+    again = history.History(spark, str(tmp_path))
+    assert again.add(log.limit(0)).count() == 0 and again.version == 5 and again.stamps
+
+
+def test_a_failed_batch_leaves_no_trace(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(list(r), "ingest_seq long, identity_key string, content_fingerprint string, text string, rank long")
+    store = history.History(spark, str(tmp_path))
+    assert store.add(rows((1, "a", "f", LONG_A, 1))).count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(history.History, "commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.add(rows((2, "b", "g", LONG_B, 2)))
+    assert spots(store.add(rows((3, "b", "g", LONG_B, 3), (4, "c", "f", "short", 3), (5, "d", "f", LONG_A + "!", 3))).collect()) == {(5, "exact")}
+    assert spots(store.add(rows((6, "b", None, LONG_B, 4), (7, None, None, LONG_B.replace("nine", "ten"), 4))).collect()) == {(6, "identity"), (7, "near")}
+    store.close()
+
+
+def test_clusters_merge_across_batches(spark, tmp_path):
+    """A later text that joins two clusters of the history re-points one, and what follows counts from the earlier first run."""
+    w = [f"{a}{b}en" for a in ("kal", "mor", "tis", "bud", "rog", "fel") for b in ("a", "e", "i", "o", "u")]
+    one, two, bridge = " ".join(w[:20]), " ".join(w[10:30]), " ".join(w[4:26])
+    rows = lambda *r: spark.createDataFrame([(i, f"k{i}", None, t, n) for i, t, n in r], "ingest_seq long, identity_key string, content_fingerprint string, text string, rank long")
+    store = history.History(spark, str(tmp_path))
+    store.weights = history.Weights(-4.5, (10.0, 0.0, 0.0))
+    got = [spots(store.add(rows(*x)).collect()) for x in ([(1, one, 1)], [(2, two, 2)], [(3, bridge, 3)], [(4, two + " x", 4)], [(5, one.upper(), 5), (6, "short", 5)])]
+    assert got == [set(), set(), {(3, "near")}, {(4, "near")}, {(5, "near")}]
+    roots = {r.root for r in store.root_of(store.table("clusters").select("class")).collect()}
+    first = store.table("firsts").groupBy("comp").agg(F.min("rank").alias("r")).filter(F.col("comp").isin(list(roots))).collect()
+    assert len(roots) == 1 and [r.r for r in first] == [1]
+    store.close()
 
 
 def test_learned_weights_part_copies_from_others():
     for texts in ([f"{LONG_A} {i} {LONG_B[i:]}" for i in range(40)], [" ".join(f"w{i * k % 97}" for k in range(1, 30)) for i in range(60)], []):
         w = history.fit_weights(texts)
-        assert w(0.7, 0.9, 0.9) and not w(0.15, 0.3, 0.8)
+        score = lambda *x: w.bias + sum(a * b for a, b in zip(w.fields, x))  # noqa: B023, E731
+        assert score(0.7, 0.9, 0.9) > 0 > score(0.15, 0.3, 0.8)
 
 
 def test_forms_and_pairs(df, spark):

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from glyphmill.llm import common, encoding, language, leakage, lookalike, moderation, near, personal, sentences
+
+from . import brute
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -227,7 +229,13 @@ def test_harm_on_held_out_samples():
 # --- fingerprints -----------------------------------------------------------------------------------------------------------------
 def test_grams_do_not_depend_on_the_batch():
     texts = common.level_many(["one two three four five six", "岚谷的活动商店卖光了纸鹤", ""])
-    d, h = near.grams(texts)
+    d, h = near.Hashed(texts).grams()
     for i, t in enumerate(texts):
-        _, own = near.grams([t])
+        _, own = near.Hashed([t]).grams()
         assert sorted(h[d == i].tolist()) == sorted(own.tolist())
+
+
+def test_hashed_wording_is_the_wording():
+    texts = [t for t in common.level_many(column("bilibili", "original_text")) if t] + ["ab", "岚", ""]
+    sizes = [len(w) for w in near.sketch(texts)[2]]
+    assert sizes == [len(brute.wording(t)) for t in texts]
