@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import levelled, load, materialise, release, shared_dir, ship, spread
-from .near import LONG, SIGN, Hashed, components, cut, keyed_of, linked, sketched
+from .near import BITS, LONG, SIGN, Hashed, components, cut, keyed_of, linked, sketched
 
 TRAIN_TEXTS = 400  # bound of the sample that the weights are fitted on
-REPLAY = 3  # blocks of runs that a whole log is fed in
+REPLAY = 2  # blocks of runs that a whole log is fed in
 
 
 @dataclass
@@ -129,7 +129,7 @@ class History:
     TABLES = {
         "marks": ("key binary, rank long", "key"),  # first runs of identity keys and stored fingerprints, several rows a key
         "blocks": ("key long, class long, sign long, more long", "key"),
-        "texts": ("class long, sign long, more long, keys array<long>, words array<int>", "class"),
+        "texts": (f"class long, sign long, more long, size long, {' long, '.join(BITS)} long, keys array<long>, words array<int>", "class"),
         "clusters": ("class long, comp long", "class"),
         "roots": ("comp long, root long", "comp"),  # merged representatives and those that stand for them; the last row of a comp holds
         "firsts": ("comp long, rank long", "comp"),  # first runs of clusters, several rows a representative
@@ -216,7 +216,7 @@ class History:
         marked = mine.select("id", "rank", "k.*").join(hit, "key").filter("first < rank").select("id", "kind")
 
         # New texts go into their buckets first, so that the joins below find both sides in place.
-        new = found.filter("words is not null").select("class", *SIGN, "keys", "words").repartition(self.buckets, "class").dropDuplicates(["class"])
+        new = found.filter("words is not null").select("class", *SIGN, "size", *BITS, "keys", "words").repartition(self.buckets, "class").dropDuplicates(["class"])
         new = new.join(self.table("texts").select("class"), "class", "left_anti")
         self.put("texts", new, stamp, placed=True)
         texts = self.table("texts", stamp)
@@ -229,7 +229,7 @@ class History:
             every = self.root_of(self.table("clusters").select("class")).unionByName(texts.filter(F.col("stamp") == stamp).select("class", F.col("class").alias("root")))
             return every.join(merged.withColumnRenamed("class", "root"), "root", "left").select("class", F.coalesce("comp", "root").alias("comp"))
 
-        links = linked(keyed, texts.select("class", "words"), self.weights, clusters_with)
+        links = linked(keyed, texts.select("class", "size", *BITS, "words"), self.weights, clusters_with)
 
         # Union-find: links join representatives; those that lose their place are re-pointed, with all that pointed to them.
         merged = components(self.rooted(links))

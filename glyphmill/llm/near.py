@@ -13,6 +13,7 @@ over LIMIT texts is parted by every further symbol, again and again. Pairs withi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ SPLITS = 3  # how often: pairs within the distance have at least 2 + SPLITS symb
 BLOCK = 512  # members compared at once in a bucket that is large still
 SHARE = 0.33  # share of the filled symbols that have to agree: the complete distance
 SIGN = ["sign", "more"]  # the fingerprint in eight bits a symbol, four of each in either column; 0 in sign is an empty bin
+BITS = ["b0", "b1", "b2", "b3"]  # the wording as a bitmap of 256 bits, which bounds what two texts can have in common
 SIMILAR = 0.45
 LONG = 24
 
@@ -119,11 +121,20 @@ def sketch(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndar
     return keys, sign, cut(*hashed.wording(), len(texts))
 
 
+def bitmaps(words: list[np.ndarray]) -> np.ndarray:
+    """One row of 256 bits, as four longs, for each array of hashed grams."""
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    h = np.concatenate(words).view(np.uint32) >> np.uint32(8) if len(owner) else np.zeros(0, np.uint32)
+    set_ = np.zeros((len(words), 256), np.uint8)
+    set_[owner, h & np.uint32(255)] = 1
+    return np.packbits(set_, axis=1, bitorder="little").view(np.int64)
+
+
 def sketched(rows: DataFrame, extra: str = "", long_only: bool = False) -> DataFrame:
-    """id, class (64-bit hash of the levelled text) and extra columns of every row of rows(id, text, ...), and keys, SIGN and words.
+    """id, class (64-bit hash of the levelled text) and extra columns of every row of rows(id, text, ...), and keys, SIGN, size, BITS and words.
 
-    The last three are null where the class came before in the same batch of rows, so a text that a third of all rows hold is sketched once
-    a batch; with long_only, all four are null for a null text. The text itself moves no further.
+    These are null where the class came before in the same batch of rows, so a text that a third of all rows hold is sketched once
+    a batch; with long_only, class too is null for a null text. The text itself moves no further.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,13 +151,17 @@ def sketched(rows: DataFrame, extra: str = "", long_only: bool = False) -> DataF
             whole.iloc[has] = h
             for i, x in enumerate(signs):
                 x.iloc[at] = sign[:, i]
+            more = {"size": np.fromiter(map(len, words), np.int64, len(words)), **dict(zip(BITS, bitmaps(words).T))} if len(first) else {}
+            for c, v in more.items():
+                more[c] = pd.Series(pd.NA, range(len(b)), "Int64")
+                more[c].iloc[at] = v
             lists = {"keys": np.full(len(b), None, object), "words": np.full(len(b), None, object)}
             for i, k, w in zip(at, keys, words):
                 lists["keys"][i], lists["words"][i] = k, w
             rest = {c: b[c].reset_index(drop=True) for c in b.columns if c not in ("id", "text")}
-            yield pd.DataFrame({"id": b["id"].reset_index(drop=True), "class": whole, **rest, "keys": lists["keys"], **dict(zip(SIGN, signs)), "words": lists["words"]})
+            yield pd.DataFrame({"id": b["id"].reset_index(drop=True), "class": whole, **rest, "keys": lists["keys"], **dict(zip(SIGN, signs)), **{c: more.get(c) for c in ("size", *BITS)}, "words": lists["words"]})
 
-    return rows.mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, class long{extra}, keys array<long>, {SIGN[0]} long, {SIGN[1]} long, words array<int>")
+    return rows.mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, class long{extra}, keys array<long>, {', '.join(f'{c} long' for c in (*SIGN, 'size', *BITS))}, words array<int>")
 
 
 def filled(x: Column) -> Column:
@@ -173,13 +188,14 @@ def meeting(keyed: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]
     keyed is partitioned by key (repartitioned, or the scan of a bucketed table), so nothing here moves by key again. At least one of a
     pair is fresh. All members of a bucket of up to limit classes meet; a larger one is parted by every further symbol, SPLITS times.
     """
-    size = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").drop("any")
-    some = keyed.join(size.filter(F.col("n") <= limit).select("key"), "key")
-    pairs = _within(some, keyed, "key")
-    large = materialise(size.filter(F.col("n") > limit), "large")
+    size = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("any")).filter("n > 1 and any")
+    size = materialise(size.select("key", "n"), "size")
+    of = lambda keys: keyed.join(keys.select("key").hint("shuffle_hash"), "key")  # noqa: E731  a set of keys is hashed, the table itself is not sorted
+    some, large = of(size.filter(F.col("n") <= limit)), size.filter(F.col("n") > limit)
+    pairs = _within(some, some, "key")
     rows = None
     if not large.isEmpty():
-        rows = keyed.join(large.select("key"), "key").groupBy("key", "class", *SIGN).agg(F.max("fresh").alias("fresh"))  # repeats of a class leave here
+        rows = of(large).groupBy("key", "class", *SIGN).agg(F.max("fresh").alias("fresh"))  # repeats of a class leave here
         rows = materialise(rows.withColumn("part", F.col("key")).withColumn("last", F.lit(-1)), "large")
         for level in range(SPLITS + 1):
             n = rows.groupBy("part").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").drop("any")
@@ -239,30 +255,42 @@ def similar(jaccard: Column, containment: Column, ratio: Column) -> Column:
     return jaccard >= SIMILAR
 
 
-def verified(pairs: DataFrame, words: DataFrame, decide: Decision) -> DataFrame:
-    """a, b: pairs whose wording passes decide(jaccard, containment, ratio of the sizes). words: class, words; one row for each class."""
-    side = lambda c, w: words.select(F.col("class").alias(c), F.col("words").alias(w))
-    both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b")
-    n = F.size(F.array_intersect("wa", "wb")).cast("double")
-    x, y = F.size("wa"), F.size("wb")
-    some = lambda c: F.greatest(F.lit(1), c)
-    fields = F.struct((n / some(x + y - n)).alias("j"), (n / some(F.least(x, y))).alias("c"), (F.least(x, y) / some(F.greatest(x, y))).alias("r"))
-    got = both.select("a", "b", fields.alias("f"))
-    return got.filter(decide(F.col("f.j"), F.col("f.c"), F.col("f.r"))).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, decide: Decision) -> DataFrame:
+    """a, b: pairs whose wording passes decide(jaccard, containment, ratio of the sizes), which rises with what they have in common.
+
+    texts: class, size, BITS, words; one row for each class. Most pairs fail by the bound that their bitmaps set; only the others fetch
+    the wording itself, which is compared exactly.
+    """
+
+    def passes(n: Column) -> Column:
+        x, y = F.col("sa").cast("double"), F.col("sb").cast("double")
+        some = lambda c: F.greatest(F.lit(1.0), c)
+        return decide(n / some(x + y - n), n / some(F.least(x, y)), F.least(x, y) / some(F.greatest(x, y)))
+
+    total = lambda cols: reduce(lambda p, q: p + q, map(F.bit_count, cols))
+    side = lambda c, cols: texts.select(F.col("class").alias(c), *[F.col(x).alias(f"{x[0] if x in ('size', 'words') else x}{c}") for x in cols])
+    both = pairs.join(side("a", ["size", *BITS]), "a").join(side("b", ["size", *BITS]), "b")
+    a, b = ([F.col(f"{x}{c}") for x in BITS] for c in "ab")
+    common = total([p.bitwiseAND(q) for p, q in zip(a, b)]) + F.least(F.col("sa") - total(a), F.col("sb") - total(b))
+    both = materialise(both.filter(passes(F.least(common, "sa", "sb").cast("double"))).select("a", "b", "sa", "sb"), "bounded")
+    ends = both.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    texts = texts.join(ends.hint("shuffle_hash"), "class", "left_semi")
+    both = both.join(side("a", ["words"]), "a").join(side("b", ["words"]), "b")
+    return both.filter(passes(F.size(F.array_intersect("wa", "wb")).cast("double"))).select("a", "b")
 
 
-def linked(keyed: DataFrame, words: DataFrame, decide: Decision, comps=None, limit: int = LIMIT) -> DataFrame:
+def linked(keyed: DataFrame, texts: DataFrame, decide: Decision, comps=None, limit: int = LIMIT) -> DataFrame:
     """a, b: links between classes of keyed (see meeting) whose wording passes decide.
 
     Where buckets stay large to the end, their members meet a hub first, and what the links so far leave apart is compared in full;
     comps(links) gives the components under those links.
     """
     pairs, hot = meeting(keyed, limit)
-    links = materialise(verified(pairs, words, decide), "links")
+    links = materialise(verified(pairs, texts, decide), "links")
     if hot is None or hot.isEmpty():
         return links
-    links = materialise(links.unionByName(verified(hub_pairs(hot), words, decide)).distinct(), "links")
-    rest = verified(rest_pairs(hot, (comps or components)(links)), words, decide)
+    links = materialise(links.unionByName(verified(hub_pairs(hot), texts, decide)).distinct(), "links")
+    rest = verified(rest_pairs(hot, (comps or components)(links)), texts, decide)
     return materialise(links.unionByName(rest).distinct(), "links")
 
 
@@ -288,6 +316,6 @@ def near_groups(rows: DataFrame, decide: Decision = similar, limit: int = LIMIT)
     """id, class, comp of every row of rows(id, text): rows of one comp are copies of one text."""
     found = materialise(sketched(rows), "sketches")
     keyed = keyed_of(found).repartition("key")
-    words = found.filter("words is not null").select("class", "words").dropDuplicates(["class"])
-    comp = components(linked(keyed, words, decide, limit=limit))
+    texts = found.filter("words is not null").select("class", "size", *BITS, "words").dropDuplicates(["class"])
+    comp = components(linked(keyed, texts, decide, limit=limit))
     return found.select("id", "class").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
