@@ -113,9 +113,9 @@ def intake(evidence: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def packed(kind: str, key: Column) -> Column:
-    """A key as bytes after its kind: hex digests in half their length, anything else after a mark; null stays null."""
-    mark = lambda m: F.encode(F.lit(m), "utf-8")
-    return F.when(key.rlike("^[0-9a-f]{64}$"), F.concat(mark(kind), F.unhex(key))).otherwise(F.concat(mark(f"{kind}="), F.encode(key, "utf-8")))
+    """A key in 17 bytes: its kind and 128 bits, which are the first half of a SHA-256 digest and the MD5 of anything else; null stays null."""
+    bits = F.when(key.rlike("^[0-9a-f]{64}$"), F.substring(key, 1, 32)).otherwise(F.md5(F.concat(F.lit("="), key)))
+    return F.concat(F.encode(F.lit(kind), "utf-8"), F.unhex(bits))
 
 
 class History:
@@ -169,7 +169,7 @@ class History:
         return self.spark.table(self.name(name)).filter(F.col("stamp").isin([*self.stamps, *([own] if own else [])] or [0]))
 
     def put(self, table: str, df: DataFrame, stamp: int, placed: bool = False) -> None:
-        """Append rows, one file a bucket; placed: df is partitioned into the buckets already."""
+        """Append rows; placed: all rows of a key are in one partition of df already, so that each bucket gets one file or a few."""
         schema, key = self.TABLES[table]
         df = df if placed else df.repartition(self.buckets, key)
         df.select(*[c.split()[0] for c in schema.split(", ")], F.lit(stamp).cast("long").alias("stamp")).write.insertInto(self.name(table))
@@ -206,8 +206,8 @@ class History:
         # Identity keys and stored fingerprints: rows of short texts are history for the latter but do not repeat by it.
         kinds = F.explode(F.filter(F.array(F.col("i"), F.col("e")), lambda k: k.isNotNull())).alias("key")
         now = found.select("rank", kinds).groupBy("key").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
-        now = materialise(now.repartition(self.buckets, "key"), "now")
-        self.put("marks", now, stamp)
+        now = materialise(now, "now")
+        self.put("marks", now, stamp, placed=True)
         first = self.table("marks", stamp).groupBy("key").agg(F.min("rank").alias("first"))
         hit = materialise(now.select("key", "last").join(first, "key").filter("first < last").select("key", "first"), "hit")
         mark = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
@@ -234,7 +234,7 @@ class History:
         # Union-find: links join representatives; those that lose their place are re-pointed, with all that pointed to them.
         merged = components(self.rooted(links))
         fresh = texts.filter(F.col("stamp") == stamp).select("class")
-        self.put("clusters", fresh.join(merged, "class", "left").select("class", F.coalesce("comp", "class").alias("comp")), stamp)
+        self.put("clusters", fresh.join(merged, "class", "left").select("class", F.coalesce("comp", "class").alias("comp")), stamp, placed=True)
         moved = materialise(merged.filter("class != comp").join(fresh, "class", "left_anti").select(F.col("class").alias("was"), F.col("comp").alias("root")), "moved")
         old = self.table("roots").groupBy("comp").agg(F.max_by("root", "stamp").alias("was"))
         self.put("roots", moved.select(F.col("was").alias("comp"), "root").unionByName(old.join(moved, "was").select("comp", "root")), stamp)
@@ -243,7 +243,7 @@ class History:
         seen = found.filter("class is not null").groupBy("class").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
         seen = materialise(self.root_of(seen, stamp), "seen")
         lost = self.table("firsts").join(moved.withColumnRenamed("was", "comp"), "comp").select(F.col("root").alias("comp"), "rank")
-        self.put("firsts", seen.select(F.col("root").alias("comp"), "rank").unionByName(lost).groupBy("comp").agg(F.min("rank").alias("rank")), stamp)
+        self.put("firsts", seen.select(F.col("root").alias("comp"), "rank").unionByName(lost).groupBy("comp").agg(F.min("rank").alias("rank")), stamp, placed=True)
         first = self.table("firsts", stamp).groupBy("comp").agg(F.min("rank").alias("first"))
         near = seen.join(first.withColumnRenamed("comp", "root"), "root").filter("first < last").select("class", "first")
         copies = found.filter("class is not null").select("id", "class", "rank").join(materialise(near, "near"), "class").filter("first < rank").select("id", F.lit(2).alias("kind"))
