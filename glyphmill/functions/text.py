@@ -74,6 +74,36 @@ def ascii_tokens(x: Column) -> Column:
     return F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^a-z0-9]+")
 
 
+@F.pandas_udf(StringType())
+def normalise(x: pd.Series) -> pd.Series:
+    """Compatibility form, case-folded, white space collapsed, '' for null: what terms are matched in (F-4; Python)."""
+    return x.map(lambda t: "" if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+
+def is_word(term: str) -> bool:
+    return term.isascii() and term.isalnum()
+
+
+def term_count(text: Column, tokens: Column, terms: list[str]) -> Column:
+    """Occurrences of terms in normalised text and its tokens (F-9): ASCII terms at boundaries, others as substrings."""
+    words, rest = [t for t in terms if is_word(t)], [t for t in terms if not is_word(t)]
+    n = term_hits(tokens, words).cast("bigint") if words else F.lit(0).cast("bigint")
+    for t in rest:
+        n = n + (F.regexp_count(text, F.lit(rf"(?<![a-z0-9]){t}(?![a-z0-9])")).cast("bigint") if t.isascii() else substring_count(text, t))
+    return n
+
+
+def has_term(text: Column, tokens: Column, term: str) -> Column:
+    if is_word(term):
+        return F.array_contains(tokens, term)
+    return text.rlike(rf"(?<![a-z0-9]){term}(?![a-z0-9])") if term.isascii() else F.contains(text, F.lit(term))
+
+
+def first_position(text: Column, tokens: Column, terms: list[str]) -> Column:
+    """Where the first of the terms that occur is found, from 1; null if none."""
+    return F.array_min(F.array_compact(F.array(*[F.when(has_term(text, tokens, t), F.instr(text, t)) for t in terms])))
+
+
 def term_hits(tokens: Column, terms: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(terms)))
 

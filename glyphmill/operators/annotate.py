@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import ascii_tokens, rnd, sentences, substring_count, term_hits
+from ..functions.text import first_position, has_term, normalise, rnd, sentences, substring_count, term_count, term_hits
 
 
 def annotate(rows: DataFrame, text: str = "text", topics: dict[str, list[str]] = L.TOPICS) -> DataFrame:
-    """Adds tokens, hits by topic, ranked topics, primary, secondary (up to four with half the hits), sentiment and its label.
+    """Adds norm, tokens, hits by topic, ranked topics, primary, secondary (up to four with half the hits), sentiment and its label.
 
-    Tokens are cut once; every count is an expression over that array, so the plan has one projection whatever the number of terms.
-    Null text counts as no token.
+    Text is normalised and cut into tokens once; every count is an expression over these, so the plan has one projection whatever the
+    number of terms. Topics rank by hits, then by where their first term stands, then by name. Null text counts as no token.
     """
-    t = F.col("tokens")
-    r = rows.withColumn("tokens", ascii_tokens(F.col(text)))
-    hits = [F.struct((-term_hits(t, terms)).alias("neg"), F.lit(k).alias("topic")) for k, terms in sorted(topics.items())]
-    r = r.withColumn("ranked", F.filter(F.array_sort(F.array(*hits)), lambda x: x["neg"] < 0))
+    r = rows.withColumn("norm", normalise(F.col(text)))
+    r = r.withColumn("tokens", F.split("norm", "[^a-z0-9]+"))
+    x, t = F.col("norm"), F.col("tokens")
+    hits = [F.struct((-term_count(x, t, terms)).alias("neg"), first_position(x, t, terms).alias("at"), F.lit(k).alias("topic")) for k, terms in sorted(topics.items())]
+    r = r.withColumn("ranked", F.array_sort(F.filter(F.array(*hits), lambda h: h["neg"] < 0)))
     first = F.get("ranked", F.lit(0))
     r = r.withColumn("primary", F.coalesce(first["topic"], F.lit("unknown"))).withColumn("hits", F.coalesce(-first["neg"], F.lit(0)))
     least = F.greatest(F.lit(1), F.floor(F.col("hits") / 2))
-    rest = F.transform(F.filter(F.slice("ranked", 2, 99), lambda x: -x["neg"] >= least), lambda x: x["topic"])
+    rest = F.transform(F.filter(F.slice("ranked", 2, 99), lambda h: -h["neg"] >= least), lambda h: h["topic"])
     r = r.withColumn("secondary", F.slice(rest, 1, 4))
-    distinct = lambda terms: F.size(F.array_intersect(t, F.array(*map(F.lit, terms))))
+    distinct = lambda terms: sum(F.when(has_term(x, t, w), 1).otherwise(0) for w in terms)
     r = r.withColumn("pos", distinct(L.POSITIVE)).withColumn("neg", distinct(L.NEGATIVE)).withColumn("neu", distinct(L.NEUTRAL))
     p, n = F.col("pos"), F.col("neg")
     label = F.when((p > 0) & (n > 0), "mixed").when(p > 0, "positive").when(n > 0, "negative").when(F.col("neu") > 0, "neutral").otherwise("unknown")

@@ -10,25 +10,25 @@ from .summaries import top_per_group
 
 
 def compare_grid(items: DataFrame) -> DataFrame:
-    """items(subject, dimension) to a complete grid with counts, share of the subject in percent and a confidence class.
+    """items(subject, dimension, source) to a complete grid with counts, share of the subject in percent and a confidence class.
 
     The grid is the product of two small aggregates (subjects and dimensions), never of the items.
     """
-    cells = items.groupBy("subject", "dimension").agg(F.count("*").alias("n"))
+    cells = items.groupBy("subject", "dimension").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
     totals = cells.groupBy("subject").agg(F.sum("n").alias("total"))
     grid = totals.join(cells.select("dimension").distinct(), how="cross")
     n = F.coalesce("n", F.lit(0))
-    level = F.when(n == 0, "insufficient").when(n < 3, "low").when(n >= 5, "higher").otherwise("medium")
+    level = F.when(n == 0, "insufficient").when(n < 3, "low").when((n >= 5) & (F.col("sources") >= 2), "higher").otherwise("medium")
     g = grid.join(cells, ["subject", "dimension"], "left")
     return g.select("subject", "dimension", n.alias("n"), rnd(100.0 * n.cast("double") / F.col("total"), 1).alias("share"), level.alias("confidence"))
 
 
 def preference_fit(positions: DataFrame, wanted: list[str], avoided: list[str]) -> DataFrame:
-    """Fit of each topic to a profile: avoided and met is friction, wanted and mostly praised a match."""
-    n = lambda v: F.sum(F.when(F.col("sentiment") == v, 1).otherwise(0))
+    """Fit of each topic to a profile: avoided and met is friction, wanted and praised at all a match, wanted and only complained of friction."""
+    n = lambda v: F.sum(F.when(F.col("position") == v, 1).otherwise(0))
     g = positions.groupBy("topic").agg(n("positive").alias("praise"), n("negative").alias("complaints"), F.countDistinct("source").alias("sources"))
     p, c, t = F.col("praise"), F.col("complaints"), F.col("topic")
-    fit = F.when(t.isin(avoided) & (p + c > 0), "possible_friction").when(t.isin(wanted) & (p >= c) & (p > 0), "likely_match").when(t.isin(wanted) & (c > 0), "possible_friction").otherwise("uncertain")
+    fit = F.when(t.isin(avoided) & (p + c > 0), "possible_friction").when(t.isin(wanted) & (p > 0), "likely_match").when(t.isin(wanted) & (c > 0), "possible_friction").otherwise("uncertain")
     return g.withColumn("fit", fit)
 
 
@@ -41,18 +41,33 @@ def findings(annotated: DataFrame, n: int) -> DataFrame:
 
 
 def controversies(positions: DataFrame, least: int = 2) -> DataFrame:
-    """Topics with at least so many distinct pieces of evidence on each side."""
-    side = lambda v: F.countDistinct(F.when(F.col("sentiment") == v, F.col("evidence_id")))
-    g = positions.filter("topic != 'unknown'").groupBy("topic").agg(side("positive").alias("pro"), side("negative").alias("con"))
-    return g.filter((F.col("pro") >= least) & (F.col("con") >= least))
+    """Topics with at least so many distinct pieces of evidence on each side, none of which is on both.
+
+    Evidence that states both positions is counted as shared and makes its topic not distinguishable; each piece is reduced to one row
+    per topic before topics are counted, so the sides never meet as lists.
+    """
+    has = lambda v: F.max((F.col("position") == v).cast("int"))
+    each = positions.filter("topic != 'unknown'").groupBy("topic", "evidence_id").agg(has("positive").alias("p"), has("negative").alias("n"))
+    g = each.groupBy("topic").agg(F.sum("p").alias("pro"), F.sum("n").alias("con"), F.sum(F.col("p") * F.col("n")).alias("shared"))
+    return g.filter((F.col("pro") >= least) & (F.col("con") >= least)).withColumn("distinguishable", F.col("shared") == 0)
 
 
-def status_rollup(runs: DataFrame) -> DataFrame:
-    """State of each source over all runs from the JSON status maps."""
+def source_states(runs: DataFrame) -> DataFrame:
+    """run_id, source, status, items_retrieved from the JSON status maps of runs."""
     m = F.from_json("source_status", "map<string,struct<status:string,items_retrieved:long>>")
-    x = runs.select(F.explode(m).alias("source", "s")).select("source", "s.*")
-    st = F.col("status")
-    is_ = lambda v: st == v
-    g = x.groupBy("source").agg(F.count("*").alias("runs"), F.sum("items_retrieved").alias("items"), F.bool_and(is_("collected")).alias("all_ok"), F.bool_or(is_("partial")).alias("part"), F.bool_or(is_("failed")).alias("fail"), F.bool_and(is_("unavailable")).alias("gone"), F.bool_or(is_("collected")).alias("some"))
-    state = F.when(F.col("all_ok"), "collected").when(F.col("part") | ((F.col("items") > 0) & F.col("fail")), "partial").when(F.col("gone"), "unavailable").when(F.col("some"), "partial").otherwise("failed")
-    return g.select("source", "runs", "items", state.alias("state"))
+    return runs.select("run_id", F.explode(m).alias("source", "s")).select("run_id", "source", "s.*")
+
+
+def status_rollup(runs: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """State of each source over all runs from the JSON status maps (A20); sources without any result are disabled.
+
+    Items beside a failure are partial; else all collected, any partial, all unavailable, in that order; else failed.
+    """
+    x, st = source_states(runs), F.col("status")
+    g = x.groupBy("source").agg(F.count("*").alias("runs"), F.sum("items_retrieved").alias("items"), F.bool_and(st == "collected").alias("all_ok"), F.bool_or(st == "partial").alias("part"), F.bool_or(st == "failed").alias("fail"), F.bool_and(st == "unavailable").alias("gone"))
+    state = F.when((F.col("items") > 0) & F.col("fail"), "partial").when(F.col("all_ok"), "collected").when(F.col("part"), "partial").when(F.col("gone"), "unavailable").otherwise("failed")
+    g = g.select("source", "runs", "items", state.alias("state"))
+    if sources:
+        want = runs.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+        g = want.join(g, "source", "full").select("source", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("state", F.lit("disabled")).alias("state"))
+    return g

@@ -40,10 +40,10 @@ def topic_priority(rows: DataFrame, topic: str, source: str, when: str, negative
         "*",
         ratio(F.col("records"), total).alias("share"),
         ratio(F.col("negatives"), F.col("records")).alias("negative_share"),
-        F.when((F.col("recent") >= 5) & (F.col("prior") >= 5), rnd((share("recent") + 0.005) / (share("prior") + 0.005), 4)).alias("momentum"),
+        rnd((share("recent") + 0.005) / (share("prior") + 0.005), 4).alias("momentum"),
         bucket(F.col("records").cast("double") / F.greatest(F.lit(1), top), 0.15, 0.35, 0.65).alias("volume_score"),
     )
-    g = g.withColumn("negative_score", bucket(F.col("negative_share"), 0.2, 0.4, 0.6)).withColumn("momentum_score", F.coalesce(bucket(F.col("momentum"), 1.05, 1.3, 1.75), F.lit(0)))
+    g = g.withColumn("negative_score", bucket(F.col("negative_share"), 0.2, 0.4, 0.6)).withColumn("momentum_score", F.when(F.col("recent") + F.col("prior") >= 5, bucket(F.col("momentum"), 1.05, 1.3, 1.75)).otherwise(0))
     g = g.withColumn("breadth_score", F.least(F.lit(3), F.col("sources")).cast("int"))
     score = F.when(F.col("topic") == other, 0).otherwise(F.col("volume_score") + F.col("negative_score") + F.col("momentum_score") + F.col("breadth_score"))
     g = g.withColumn("priority_score", score.cast("int"))

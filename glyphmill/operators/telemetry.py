@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import ratio, rnd
 
 
+def mature(users: DataFrame, signup: str, end: DataFrame, days: int) -> DataFrame:
+    """Users whose whole window of days lies before the end of the data (V14); end(end) is one row."""
+    return users.join(F.broadcast(end), F.col(signup) <= F.date_sub(F.col("end"), days)).drop("end")
+
+
 def retention(users: DataFrame, activity: DataFrame, days: tuple[int, ...] = (1, 7, 30), by: list[str] = ()) -> DataFrame:
     """users(user, signup, ...), activity(user, day): share of users active exactly n days after signup (A1, J6, T-25).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,15 @@ def quoted(terms: list[str]) -> str:
     return ",".join(f"'{t}'" for t in terms)
 
 
+_rx = "|".join(L.REQUESTS)
+
+
+def requests_sql(x: str) -> str:
+    """SQL of annotate.requests: the first three sentences that match a request pattern, cut to 300 characters."""
+    cut = f"regexp_split_to_array(regexp_replace(coalesce({x},''),'([.!?。！？])[ \\t\\n\\x0B\\f\\r]*',e'\\\\1\\n','g'),'\\n+')"
+    return f"list_transform(list_filter(list_filter(list_transform({cut}, lambda x: trim(x, ' ')), lambda x: x<>''), lambda x: regexp_matches(lower(x),'{_rx}'))[1:3], lambda x: substr(x,1,300))"
+
+
 # --- shared relations -------------------------------------------------------------------------------------------------------------
 def orders_voice(spark, sf):
     """Orders as dated voice rows: topic, source, time, negative."""
@@ -62,20 +72,71 @@ ORDERS_VOICE = "select o_orderpriority topic, c_mktsegment source, o_orderdate t
 
 
 def voices(spark, sf):
-    """Evidence texts with their annotation."""
-    e = load(spark, sf, "evidence").select("ingest_seq", "evidence_id", "source", "game_id", "relevance_label", F.get_json_object("payload_json", "$.original_text").alias("text"))
-    return A.annotate(e)
+    """Evidence as it stands after upserts (the last row of each evidence_id), annotated, with the position of each voice."""
+    e = load(spark, sf, "evidence").filter("evidence_id is not null")
+    e = S.keep_last(e.select("evidence_id", "ingest_seq", "source", "game_id", "relevance_label", "access_scope", "evidence_kind", "payload_json"), ["evidence_id"], "ingest_seq")
+    field = lambda k: F.get_json_object("payload_json", f"$.{k}")
+    e = e.select("*", field("original_text").alias("text"), field("recommended").cast("boolean").alias("recommended"), F.try_to_timestamp(field("published_at")).alias("published_at")).drop("payload_json")
+    return I.positioned(A.annotate(e))
+
+
+def members(spark, sf):
+    """The insight corpus with one row for each topic of a voice."""
+    return I.memberships(I.corpus(voices(spark, sf)))
+
+
+def _levelled() -> tuple[str, str]:
+    """Characters with a compatibility form of one other character, and those forms, for SQL."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for r in (range(0xA0, 0xD800), range(0xF900, 0x10000), range(0x1D400, 0x1D800)) for c in r]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs).replace("'", "''")
+
+
+_FROM, _TO = _levelled()
+
+
+def norm(x: str) -> str:
+    """SQL of text.normalise, as far as characters with a form of several characters do not matter."""
+    return f"trim(regexp_replace(lower(replace(nfc_normalize(translate(coalesce({x},''),'{_FROM}','{_TO}')),'ß','ss')),'\\s+',' ','g'))"
+
+
+_DOUBLE = "regexp_replace(' '||norm||' ','([^a-z0-9])','\\1\\1','g')"  # boundaries doubled, so that neighbouring matches do not share one
+_phrase = lambda t: f"'[^a-z0-9]{t.replace(' ', '  ')}[^a-z0-9]'"
+
 
+def sql_count(terms: list[str]) -> str:
+    """SQL of text.term_count over norm, toks and dbl."""
+    words_ = [t for t in terms if T.is_word(t)]
+    parts = [f"len(list_filter(toks, lambda t: t in ({quoted(words_)})))"] if words_ else []
+    parts += [f"len(regexp_extract_all(dbl,{_phrase(t)}))" if t.isascii() else f"(length(norm)-length(replace(norm,'{t}','')))//{len(t)}" for t in terms if not T.is_word(t)]
+    return "(" + "+".join(parts) + ")"
 
-_hits = {k: f"len(list_filter(toks, lambda t: t in ({quoted(v)})))" for k, v in sorted(L.TOPICS.items())}
-_distinct = lambda terms: f"len(list_intersect(toks, [{quoted(terms)}]))"
+
+def sql_has(t: str) -> str:
+    return f"list_contains(toks,'{t}')" if T.is_word(t) else f"regexp_matches(dbl,{_phrase(t)})" if t.isascii() else f"contains(norm,'{t}')"
+
+
+def _first(terms: list[str]) -> str:
+    return "least(" + ",".join(f"case when {sql_has(t)} then strpos(norm,'{t}') end" for t in terms) + ")"
+
+
+_present = lambda terms: "+".join(f"({sql_has(t)})::int" for t in terms)
 VOICES = f"""
-with base as (select ingest_seq, evidence_id, source, game_id, relevance_label, json_extract_string(payload_json,'$.original_text') as txt from evidence),
-tok as (select *, {words('txt')} toks from base),
-cnt as (select *, list_sort(list_filter([{','.join("{'neg': -" + h + f", 'topic': '{k}'" + '}' for k, h in _hits.items())}], lambda x: x.neg < 0)) ranked,
-  {_distinct(L.POSITIVE)} pos, {_distinct(L.NEGATIVE)} neg, {_distinct(L.NEUTRAL)} neu from tok),
-voices as (select *, coalesce(ranked[1].topic,'unknown') as prim, coalesce(-ranked[1].neg,0) as hits,
-  case when pos>0 and neg>0 then 'mixed' when pos>0 then 'positive' when neg>0 then 'negative' when neu>0 then 'neutral' else 'unknown' end as sentiment from cnt)
+with base as (select ingest_seq, evidence_id, source, game_id, relevance_label, access_scope, evidence_kind, json_extract_string(payload_json,'$.original_text') as txt,
+  cast(json_extract_string(payload_json,'$.recommended') as boolean) recommended, try_cast(json_extract_string(payload_json,'$.published_at') as timestamptz) published_at
+  from evidence where evidence_id is not null qualify row_number() over(partition by evidence_id order by ingest_seq desc)=1),
+nrm as (select *, {norm('txt')} norm from base),
+tok as (select *, regexp_split_to_array(norm,'[^a-z0-9]+') toks, {_DOUBLE} dbl from nrm),
+cnt as (select *, list_sort(list_filter([{','.join("{'neg': -cast(" + sql_count(v) + " as bigint), 'at': " + _first(v) + f", 'topic': '{k}'" + '}' for k, v in sorted(L.TOPICS.items()))}], lambda x: x.neg < 0)) ranked,
+  {_present(L.POSITIVE)} pos, {_present(L.NEGATIVE)} neg, {_present(L.NEUTRAL)} neu from tok),
+lab as (select *, coalesce(ranked[1].topic,'unknown') as prim, coalesce(-ranked[1].neg,0) as hits,
+  case when pos>0 and neg>0 then 'mixed' when pos>0 then 'positive' when neg>0 then 'negative' when neu>0 then 'neutral' else 'unknown' end as sentiment from cnt),
+voices as (select *, list_transform(list_filter(list_slice(ranked,2,99), lambda x: -x.neg >= greatest(1, hits//2))[1:4], lambda x: x.topic) secondary,
+  coalesce(case when recommended then 'positive' when not recommended then 'negative' end, sentiment) as "position",
+  case when recommended is not null then 'source_native_recommendation' else 'inferred_bilingual_lexicon' end as "method" from lab)
+"""
+MEMBERS = VOICES + f""", corp as (select * from voices where access_scope='public' and relevance_label='relevant' and evidence_kind in ({quoted(I.COMMUNITY_KINDS)})),
+mem as (select *, unnest(list_distinct(list_concat([prim], secondary))) topic from corp)
 """
 
 
@@ -97,11 +158,11 @@ p as (select v.*, case when tm>=anchor-interval 365 day then 'recent' when tm>=a
 g as (select topic, count(*) records, cast(sum(case when negative then 1 else 0 end) as bigint) negatives, count(distinct source) sources,
  cast(sum(case when period='recent' then 1 else 0 end) as bigint) recent, cast(sum(case when period='prior' then 1 else 0 end) as bigint) prior from p group by 1),
 h as (select *, {d('records::double/sum(records) over()')} as "share", {d('negatives::double/records')} negative_share,
- case when recent>=5 and prior>=5 then {d('(recent::double/greatest(1,sum(recent) over())+0.005)/(prior::double/greatest(1,sum(prior) over())+0.005)')} end momentum,
+ {d('(recent::double/greatest(1,sum(recent) over())+0.005)/(prior::double/greatest(1,sum(prior) over())+0.005)')} momentum,
  records::double/greatest(1,max(records) over()) vr from g),
 s as (select topic, records, negatives, sources, recent, prior, "share", negative_share, momentum,
  cast((vr>=0.15)::int+(vr>=0.35)::int+(vr>=0.65)::int as int) volume_score, cast((negative_share>=0.2)::int+(negative_share>=0.4)::int+(negative_share>=0.6)::int as int) negative_score,
- cast(coalesce((momentum>=1.05)::int+(momentum>=1.3)::int+(momentum>=1.75)::int,0) as int) momentum_score, cast(least(3,sources) as int) breadth_score from h),
+ cast(case when recent+prior>=5 then (momentum>=1.05)::int+(momentum>=1.3)::int+(momentum>=1.75)::int else 0 end as int) momentum_score, cast(least(3,sources) as int) breadth_score from h),
 t as (select *, cast(volume_score+negative_score+momentum_score+breadth_score as int) priority_score from s)
 select *, case when priority_score>=10 then 'P0' when priority_score>=7 then 'P1' when priority_score>=4 then 'P2' else 'P3' end priority from t""")
 def topic_priority(spark, sf):
@@ -121,12 +182,17 @@ def period_label(spark, sf):
     return S.period_label(orders_voice(spark, sf), "at").groupBy("period", "topic").agg(F.count("*").alias("n"))
 
 
-@query(f"""with v as (select game_id, published_at tm from bilibili), m as (select game_id, max(tm) anchor from v group by 1),
-g as (select v.game_id, count(*) items, cast(sum(case when tm>=anchor-interval 30 day then 1 else 0 end) as bigint) recent,
- cast(sum(case when tm>=anchor-interval 60 day and tm<anchor-interval 30 day then 1 else 0 end) as bigint) prior from v join m using(game_id) group by 1)
-select *, case when recent+prior>=3 then {d('(recent+0.5::double)/(prior+0.5::double)', 3)} end momentum, cast(least(3,ceil(log2(items+1))) as int) volume_score from g""")
+@query(MEMBERS + f""", ok as (select unnest(json_keys(source_status)) source, source_status from runs), el as (select distinct source from ok where json_extract_string(source_status,'$.'||source||'.status') in ('collected','partial')),
+anc as (select game_id, topic, max(published_at) anchor from mem group by 1,2),
+g as (select m.game_id, m.topic, count(*) items, cast(sum(("position"='negative')::int) as bigint) negatives, cast(sum(case when published_at>=anchor-interval 30 day then 1 else 0 end) as bigint) recent,
+ cast(sum(case when published_at>=anchor-interval 60 day and published_at<anchor-interval 30 day then 1 else 0 end) as bigint) prior, count(distinct el.source) breadth
+ from mem m join anc using(game_id, topic) left join el on m.source=el.source group by 1,2),
+h as (select *, {d('negatives::double/items')} negative_share, case when recent+prior>=3 then {d('(recent+0.5::double)/(prior+0.5::double)', 3)} end momentum, cast(least(3,ceil(log2(items+1))) as int) volume_score,
+ cast((negatives::double/items>=0.2)::int+(negatives::double/items>=0.4)::int+(negatives::double/items>=0.6)::int as int) negative_score from g),
+i as (select *, cast(coalesce((momentum>=1.05)::int+(momentum>=1.3)::int+(momentum>=2)::int,0) as int) momentum_score, cast(least(3,breadth) as int) breadth_score from h)
+select *, cast(volume_score+negative_score+momentum_score+breadth_score as int) total, case when volume_score+negative_score+momentum_score+breadth_score>=9 then 'high' when volume_score+negative_score+momentum_score+breadth_score>=5 then 'medium' else 'low' end "label" from i""")
 def insight_priority(spark, sf):
-    return S.anchored_momentum(load(spark, sf, "bilibili").select("game_id", F.col("published_at").alias("at")), "game_id", "at")
+    return I.priorities(members(spark, sf), ["game_id", "topic"], M.source_states(load(spark, sf, "runs")).filter(F.col("status").isin("collected", "partial")))
 
 
 @query("""select identity_key, arg_max(ingest_seq, ingest_seq) ingest_seq, arg_max(relevance_label, ingest_seq) relevance_label from evidence group by 1""")
@@ -135,7 +201,7 @@ def dedup_keep_last(spark, sf):
 
 
 # --- telemetry --------------------------------------------------------------------------------------------------------------------
-@query(f"""with u as (select o_custkey as "user", cast(min(o_orderdate) as date) signup, c_mktsegment segment from orders join customer on o_custkey=c_custkey group by 1,3),
+@query(f"""with u as (select o_custkey as "user", cast(min(o_orderdate) as date) signup, c_mktsegment segment from orders join customer on o_custkey=c_custkey group by 1,3 having cast(min(o_orderdate) as date) <= (select cast(max(o_orderdate) as date) from orders) - 30),
 a as (select distinct o_custkey as "user", cast(o_orderdate as date) "day" from orders),
 p as (select u."user", segment, max(case when "day"-signup=1 then 1 else 0 end) d1, max(case when "day"-signup=7 then 1 else 0 end) d7, max(case when "day"-signup=30 then 1 else 0 end) d30 from u left join a on u."user"=a."user" group by 1,2)
 select segment, count(*) eligible, cast(sum(d1) as bigint) d1_users, {d('sum(d1)::double/count(*)')} d1_rate, cast(sum(d7) as bigint) d7_users, {d('sum(d7)::double/count(*)')} d7_rate,
@@ -144,6 +210,7 @@ def retention_d1_d7_d30(spark, sf):
     o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
     day = F.to_date("o_orderdate")
     first = o.groupBy(F.col("o_custkey").alias("user")).agg(F.min(day).alias("signup"))
+    first = Y.mature(first, "signup", o.agg(F.max(day).alias("end")), 30)
     users = first.join(c.select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("segment")), "user")
     return Y.retention(users, o.select(F.col("o_custkey").alias("user"), day.alias("day")), by=["segment"])
 
@@ -208,9 +275,9 @@ def lexical_sentiment(spark, sf):
     return A.lexical_sentiment(load(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-@query(VOICES + """select ingest_seq, prim, hits, array_to_string(list_transform(list_filter(list_slice(ranked,2,99), lambda x: -x.neg >= greatest(1, hits//2))[1:4], lambda x: x.topic),',') secondary, sentiment from voices""")
+@query(VOICES + """select ingest_seq, prim, hits, array_to_string(secondary,',') secondary, sentiment, "position", "method" from voices""")
 def multi_label_topics(spark, sf):
-    return voices(spark, sf).select("ingest_seq", F.col("primary").alias("prim"), F.col("hits").cast("bigint").alias("hits"), F.array_join("secondary", ",").alias("secondary"), "sentiment")
+    return voices(spark, sf).select("ingest_seq", F.col("primary").alias("prim"), F.col("hits").cast("bigint").alias("hits"), F.array_join("secondary", ",").alias("secondary"), "sentiment", "position", "method")
 
 
 @query(VOICES + f"select ingest_seq, case when prim='unknown' then 0.35::double else {d('least(0.95,0.55+0.08*hits)', 2)} end confidence, prim='unknown' or sentiment='unknown' needs_review from voices")
@@ -218,11 +285,7 @@ def annotation_confidence(spark, sf):
     return A.confidence(voices(spark, sf)).select("ingest_seq", "confidence", "needs_review")
 
 
-_rx = "|".join(L.REQUESTS)
-
-
-@query(f"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text,''),'([.!?。！？])[ \\t\\n\\x0B\\f\\r]*',e'\\\\1\\n','g'),'\\n+'), lambda x: trim(x, ' ')), lambda x: x<>'') ss from documents)
-select doc_id, array_to_string(list_transform(list_filter(ss, lambda x: regexp_matches(lower(x),'{_rx}'))[1:3], lambda x: substr(x,1,300)),' | ') requests from s""")
+@query(f"select doc_id, array_to_string({requests_sql('text')},' | ') requests from documents")
 def explicit_requests(spark, sf):
     return A.requests(load(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("requests", " | ").alias("requests"))
 
@@ -285,17 +348,16 @@ def cross_posts(spark, sf):
     return U.cross_posts(load(spark, sf, "evidence"))
 
 
-@query("""with m as (select quantile_disc(ingest_seq,0.5) h from evidence), b as (select identity_key, arg_max(evidence_id,ingest_seq) evidence_id, arg_max(game_id,ingest_seq) game_id, arg_max(relevance_label,ingest_seq) relevance_label, max(ingest_seq) s from evidence,m where ingest_seq<=10*cast(floor(h/10) as bigint) group by 1),
-n as (select identity_key, arg_max(evidence_id,ingest_seq) evidence_id, arg_max(game_id,ingest_seq) game_id, arg_max(relevance_label,ingest_seq) relevance_label, max(ingest_seq) s from evidence,m where ingest_seq>10*cast(floor(h/10) as bigint) group by 1)
+@query("""with b as (select identity_key, arg_max(evidence_id,ingest_seq) evidence_id, arg_max(game_id,ingest_seq) game_id, arg_max(relevance_label,ingest_seq) relevance_label, max(ingest_seq) s from evidence where run_id < (select max(run_id) from runs) group by 1),
+n as (select identity_key, arg_max(evidence_id,ingest_seq) evidence_id, arg_max(game_id,ingest_seq) game_id, arg_max(relevance_label,ingest_seq) relevance_label, max(ingest_seq) s from evidence where run_id >= (select max(run_id) from runs) group by 1)
 select identity_key, coalesce(b.evidence_id,n.evidence_id) evidence_id, coalesce(b.game_id,n.game_id) game_id, coalesce(n.relevance_label,b.relevance_label) relevance_label, coalesce(n.s,b.s) ingest_seq from b full join n using(identity_key)""")
 def upsert_merge(spark, sf):
-    """The first half of the log as base, the second merged into it."""
-    e = load(spark, sf, "evidence")
-    half = e.select(F.floor(F.percentile("ingest_seq", F.lit(0.5)) / 10).alias("h"))
-    cut = e.join(F.broadcast(half), how="cross")  # one row
+    """All runs but the last as base, the last merged into it."""
+    last = F.broadcast(load(spark, sf, "runs").agg(F.max("run_id").alias("last")))  # one row
+    e = load(spark, sf, "evidence").join(last, how="cross")
     cols = ["identity_key", "evidence_id", "game_id", "relevance_label", "ingest_seq"]
-    base = S.keep_last(cut.filter("ingest_seq <= 10 * h").select(*cols), ["identity_key"], "ingest_seq")
-    return U.upsert(base, cut.filter("ingest_seq > 10 * h").select(*cols)).select(*cols)
+    base = S.keep_last(e.filter("run_id < last").select(*cols), ["identity_key"], "ingest_seq")
+    return U.upsert(base, e.filter("run_id >= last").select(*cols)).select(*cols)
 
 
 @query("""with b as (select * from evidence where run_id <> (select max(run_id) from runs)), n as (select identity_key, count(*) c from evidence where run_id = (select max(run_id) from runs) group by 1)
@@ -394,39 +456,52 @@ def coverage_full_outer(spark, sf):
     return I.coverage(load(spark, sf, "evidence").select("source", F.col("relevance_label").alias("label")), status)
 
 
-@query(VOICES + "select source, sentiment, prim topic, count(*) n from voices group by 1,2,3")
+@query(VOICES + "select source, \"position\", \"method\", prim topic, count(*) n, min(epoch_us(published_at)) first_us, max(epoch_us(published_at)) last_us from voices group by 1,2,3,4")
 def sample_scope(spark, sf):
-    return voices(spark, sf).groupBy("source", "sentiment", F.col("primary").alias("topic")).agg(F.count("*").alias("n"))
+    us = F.unix_micros("published_at")
+    return voices(spark, sf).groupBy("source", "position", "method", F.col("primary").alias("topic")).agg(F.count("*").alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
 def positions(spark, sf):
-    return voices(spark, sf).select(F.col("primary").alias("topic"), "source", "sentiment", "evidence_id", "ingest_seq")
-
-
-@query(VOICES + f""", g as (select prim topic, count(*) items, count(distinct source) sources, cast(sum((sentiment='positive')::int) as bigint) p, cast(sum((sentiment='negative')::int) as bigint) n, cast(sum((sentiment='mixed')::int) as bigint) m from voices group by 1),
-u as (select topic, items, sources, 'research_gap' kind, items supports, 0::bigint challenges from g where topic='unknown' union all select topic,items,sources,'praise',p,n from g where topic<>'unknown' and p>=1
- union all select topic,items,sources,'complaint',n,p from g where topic<>'unknown' and n>=1 union all select topic,items,sources,'controversy',p,n from g where topic<>'unknown' and p>=1 and n>=1
- union all select topic,items,sources,'mixed_gap',m,0::bigint from g where topic<>'unknown' and m>=1 and not (p>=1 and n>=1))
-select *, {d('least(0.95,0.45+0.08*least(5,items)+0.05*least(2,sources))', 3)} confidence from u""")
+    return members(spark, sf).select("game_id", "topic", "source", "position", "evidence_id", "ingest_seq")
+
+
+@query(MEMBERS + f""", per as (select game_id, topic, source, count(*) items, sum(("position"='positive')::int) p, sum(("position"='negative')::int) n, sum(("position"='mixed')::int) m from mem group by 1,2,3),
+ord as (select *, n::double/items sh, row_number() over(partition by game_id, topic order by n::double/items desc, source) hi, row_number() over(partition by game_id, topic order by n::double/items, source) lo from per),
+g as (select game_id, topic, sum(items)::bigint items, count(*) sources, sum(p)::bigint p, sum(n)::bigint n, sum(m)::bigint m, count(case when p+n>0 then 1 end) ps, count(case when m>0 then 1 end) ms,
+ max(case when hi=1 then sh end)-max(case when lo=1 then sh end) gap, max(case when hi=1 then items end) hi_n, max(case when lo=1 then items end) lo_n from ord group by 1,2),
+r as (select *, row_number() over(partition by game_id order by items desc, topic) "rank" from g qualify row_number() over(partition by game_id order by items desc, topic)<=12),
+u as (select game_id, topic, "rank", 'research_gap' kind, items supports, 0::bigint challenges, sources ks from r where topic='unknown'
+ union all select game_id, topic, "rank", 'praise', p, n, ps from r where topic<>'unknown' and p>0 union all select game_id, topic, "rank", 'complaint', n, p, ps from r where topic<>'unknown' and n>0
+ union all select game_id, topic, "rank", 'controversy', p, n, ps from r where topic<>'unknown' and p>0 and n>0 union all select game_id, topic, "rank", 'research_gap', m, 0, ms from r where topic<>'unknown' and m>0 and not (p>0 and n>0)
+ union all select game_id, topic, "rank", 'difference', hi_n, lo_n, 2 from r where topic<>'unknown' and sources>=2 and gap>=0.3)
+select game_id, topic, cast("rank" as int) "rank", kind, cast(supports as bigint) supports, cast(challenges as bigint) challenges, {d('least(0.95,0.45+0.08*least(5,supports+challenges)+0.05*least(2,ks))', 3)} confidence
+ from u qualify kind='research_gap' or row_number() over(partition by game_id, kind order by "rank")<=12""")
 def insights_union(spark, sf):
     return I.insights(positions(spark, sf))
 
 
-@query(VOICES + f""", g as (select prim topic, source, count(*) n, {d('sum((sentiment=' + chr(39) + 'negative' + chr(39) + ')::int)::double/count(*)')} as sh from voices group by 1,2),
+@query(MEMBERS + f""", g as (select topic, source, count(*) n, {d('sum(("position"=' + chr(39) + 'negative' + chr(39) + ')::int)::double/count(*)')} as sh from mem group by 1,2),
 r as (select topic, source, sh, row_number() over(partition by topic order by sh desc, source) hi, row_number() over(partition by topic order by sh, source) lo, count(*) over(partition by topic) sources from g)
-select a.topic, a.sources, a.source highest, b.source lowest, {d('a.sh-b.sh')} gap from r a join r b on a.topic=b.topic and a.hi=1 and b.lo=1 where a.sources>=2 and {d('a.sh-b.sh')}>=0.05""")
+select a.topic, a.sources, a.source highest, b.source lowest, {d('a.sh-b.sh')} gap from r a join r b on a.topic=b.topic and a.hi=1 and b.lo=1 where a.sources>=2 and {d('a.sh-b.sh')}>=0.3""")
 def source_gap_difference(spark, sf):
-    return I.source_gap(positions(spark, sf), 0.05)
+    return I.source_gap(positions(spark, sf))
 
 
-@query(VOICES + """, n as (select case prim """ + " ".join(f"when '{k}' then '{v}'" for k, v in L.NEEDS.items()) + """ end need from voices where sentiment in ('negative','mixed')), g as (select need, count(*) items from n where need is not null group by 1)
-select need, items, cast(row_number() over(order by items desc, need) as int) rank from g qualify row_number() over(order by items desc, need)<=4""")
+@query(MEMBERS + f""", req as (select game_id, source, evidence_id, 'explicit_request' origin, unnest({requests_sql('txt')}) as "name" from corp),
+nee as (select game_id, source, evidence_id, 'inferred_need' origin, case prim """ + " ".join(f"when '{k}' then '{v}'" for k, v in L.NEEDS.items()) + """ end as "name" from corp where sentiment in ('negative','mixed')),
+g as (select game_id, origin, "name", count(*) mentions, count(distinct evidence_id) items, count(distinct source) sources from (select * from req union all select * from nee where "name" is not null) group by 1,2,3)
+select game_id, origin, "name", mentions, items, cast(row_number() over(partition by game_id, origin order by mentions desc, "name") as int) "rank", """ + d("least(0.95,0.45+0.08*least(5,items)+0.05*least(2,sources))", 3) + """ confidence
+ from g qualify row_number() over(partition by game_id, origin order by mentions desc, "name")<=12""")
 def opportunity_groups(spark, sf):
-    g = A.pains(voices(spark, sf)).filter("need is not null").groupBy("need").agg(F.count("*").alias("items"))
-    return S.top_per_group(g.withColumn("all", F.lit(1)), ["all"], [F.desc("items"), F.col("need")], 4).drop("all")  # a few needs
+    """Explicit requests and the needs inferred from complaints, the first twelve of each game."""
+    c = A.pains(A.requests(I.corpus(voices(spark, sf)), "text"))
+    c = c.withColumn("needs", F.array_compact(F.array("need")))
+    return I.opportunities(c, "requests", "explicit_request").unionByName(I.opportunities(c, "needs", "inferred_need"))
 
 
-@query(VOICES + """, g as (select prim topic, count(distinct case when sentiment='positive' then evidence_id end) pro, count(distinct case when sentiment='negative' then evidence_id end) con from voices where prim<>'unknown' group by 1) select * from g where pro>=2 and con>=2""")
+@query(MEMBERS + """, e as (select topic, evidence_id, max(("position"='positive')::int) p, max(("position"='negative')::int) n from mem where topic<>'unknown' group by 1,2),
+g as (select topic, cast(sum(p) as bigint) pro, cast(sum(n) as bigint) con, cast(sum(p*n) as bigint) shared from e group by 1) select *, shared=0 distinguishable from g where pro>=2 and con>=2""")
 def controversy_sides(spark, sf):
     return M.controversies(positions(spark, sf))
 
@@ -471,9 +546,11 @@ def top_margin(spark, sf):
     return P.closest_margin(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "c_name").withColumn("margin", T.rnd(F.col("margin"), 2))
 
 
-@query("""with k as (select distinct game_id, unnest(map_entries(external_ids)) x from games), e as (select distinct game_id, concat_ws(':',x.key,x.value) kk from k), h as (select kk, min(game_id) head from e group by 1) select distinct head a, game_id b from e join h using(kk) where game_id<>head""")
+@query("""with k as (select distinct c_name, c_nationkey::varchar||':'||(floor(c_acctbal/250))::bigint kk from customer), h as (select kk, min(c_name) head from k group by 1) select distinct head a, c_name b from k join h using(kk) where c_name<>head""")
 def entity_links(spark, sf):
-    return P.entity_links(load(spark, sf, "games"), "game_id", "external_ids")
+    """Customers of one nation and one band of balances as entities that share an external id."""
+    c = load(spark, sf, "customer").select("c_name", F.create_map(F.col("c_nationkey").cast("string"), F.floor(F.col("c_acctbal") / 250).cast("string")).alias("ids"))
+    return P.entity_links(c, "c_name", "ids")
 
 
 # --- facts ------------------------------------------------------------------------------------------------------------------------
@@ -506,14 +583,14 @@ def fact_readiness(spark, sf):
 
 
 # --- modes ------------------------------------------------------------------------------------------------------------------------
-@query(VOICES + f""", c as (select source as subject, prim dimension, count(*) n from voices group by 1,2), t as (select source as subject, count(*) total from voices group by 1), grid as (select subject, total, dimension from t cross join (select distinct dimension from c))
-select g.subject, g.dimension, coalesce(n,0) n, {d('100.0*coalesce(n,0)::double/total', 1)} as "share", case when coalesce(n,0)=0 then 'insufficient' when n<3 then 'low' when n>=5 then 'higher' else 'medium' end confidence from grid g left join c using(subject,dimension)""")
+@query(MEMBERS + f""", c as (select game_id as subject, topic dimension, count(*) n, count(distinct source) sources from mem group by 1,2), t as (select subject, sum(n) total from c group by 1), grid as (select subject, total, dimension from t cross join (select distinct dimension from c))
+select g.subject, g.dimension, coalesce(n,0) n, {d('100.0*coalesce(n,0)::double/total', 1)} as "share", case when coalesce(n,0)=0 then 'insufficient' when n<3 then 'low' when n>=5 and sources>=2 then 'higher' else 'medium' end confidence from grid g left join c using(subject,dimension)""")
 def compare_grid(spark, sf):
-    return M.compare_grid(positions(spark, sf).select(F.col("source").alias("subject"), F.col("topic").alias("dimension")))
+    return M.compare_grid(positions(spark, sf).select(F.col("game_id").alias("subject"), F.col("topic").alias("dimension"), "source"))
 
 
-@query(VOICES + """, g as (select prim topic, sum((sentiment='positive')::int) p, sum((sentiment='negative')::int) n, count(distinct source) sources from voices group by 1)
-select topic, cast(p as bigint) praise, cast(n as bigint) complaints, sources, case when topic in ('economy') and p+n>0 then 'possible_friction' when topic in ('audio','story') and p>=n and p>0 then 'likely_match' when topic in ('audio','story') and n>0 then 'possible_friction' else 'uncertain' end fit from g""")
+@query(MEMBERS + """, g as (select topic, sum(("position"='positive')::int) p, sum(("position"='negative')::int) n, count(distinct source) sources from mem group by 1)
+select topic, cast(p as bigint) praise, cast(n as bigint) complaints, sources, case when topic in ('economy') and p+n>0 then 'possible_friction' when topic in ('audio','story') and p>0 then 'likely_match' when topic in ('audio','story') and n>0 then 'possible_friction' else 'uncertain' end fit from g""")
 def preference_fit(spark, sf):
     return M.preference_fit(positions(spark, sf), wanted=["audio", "story"], avoided=["economy"])
 
@@ -533,7 +610,10 @@ def set_ops(spark, sf):
     return tag(a.intersect(b).intersect(x), "intersect").unionByName(tag(a.exceptAll(x.distinct()), "except")).unionByName(tag(x.union(n.select("n_regionkey")).distinct(), "union"))
 
 
-@query("""with s as (select run_id, unnest(json_keys(source_status)) source, source_status from runs), x as (select run_id, source, json_extract_string(source_status, '$.'||source||'.status') status, cast(json_extract_string(source_status, '$.'||source||'.items_retrieved') as bigint) items from s)
-select source, count(*) runs, cast(sum(items) as bigint) items, case when bool_and(status='collected') then 'collected' when bool_or(status='partial') or (sum(items)>0 and bool_or(status='failed')) then 'partial' when bool_and(status='unavailable') then 'unavailable' when bool_or(status='collected') then 'partial' else 'failed' end state from x group by 1""")
+@query("""with s as (select run_id, unnest(json_keys(source_status)) source, source_status from runs), x as (select run_id, source, json_extract_string(source_status, '$.'||source||'.status') status, cast(json_extract_string(source_status, '$.'||source||'.items_retrieved') as bigint) items from s),
+g as (select source, count(*) runs, cast(sum(items) as bigint) items, case when sum(items)>0 and bool_or(status='failed') then 'partial' when bool_and(status='collected') then 'collected' when bool_or(status='partial') then 'partial' when bool_and(status='unavailable') then 'unavailable' else 'failed' end state from x group by 1)
+select coalesce(g.source, w.source) source, coalesce(runs,0) runs, coalesce(items,0) items, coalesce(state,'disabled') state from g full join (values ('mastodon'),('steam')) w(source) on g.source=w.source""")
 def status_rollup(spark, sf):
-    return M.status_rollup(load(spark, sf, "runs"))
+    return M.status_rollup(load(spark, sf, "runs"), ["mastodon", "steam"])
+
+
