@@ -3,7 +3,7 @@
 import datetime as dt
 
 from glyphmill.functions import text as T
-from glyphmill.operators import annotate, facts, insights, planning, relevance, store, summaries, telemetry
+from glyphmill.operators import annotate, facts, insights, modes, planning, relevance, store, summaries, telemetry
 from pyspark.sql import functions as F
 
 
@@ -74,14 +74,89 @@ def test_relevance_ladder(spark):
     assert (pr.precision, pr.recall) == (0.0, 0.0)
 
 
-def test_insights_mixed_only_and_unknown(spark):
-    pos = spark.createDataFrame([("a", "s", "mixed"), ("unknown", "s", "positive"), ("b", "s", "positive"), ("b", "t", "negative")], "topic string, source string, sentiment string")
-    got = {(r.topic, r.kind): (r.supports, r.challenges) for r in insights.insights(pos).collect()}
-    assert got == {("a", "mixed_gap"): (1, 0), ("unknown", "research_gap"): (1, 0), ("b", "praise"): (1, 1), ("b", "complaint"): (1, 1), ("b", "controversy"): (1, 1)}
-    gap = insights.source_gap(pos.filter("topic = 'b'")).first()
+def members(spark, *rows):
+    return spark.createDataFrame([("g", *r) for r in rows], "game_id string, topic string, source string, position string")
+
+
+def test_insights_by_kind(spark):
+    rows = [("a", "s", "mixed"), ("unknown", "s", "positive"), ("b", "s", "positive"), ("b", "t", "negative"), ("c", "s", "negative"), ("c", "s", "mixed")]
+    got = {(r.topic, r.kind): (r.supports, r.challenges) for r in insights.insights(members(spark, *rows)).collect()}
+    assert got == {
+        ("a", "research_gap"): (1, 0), ("unknown", "research_gap"): (1, 0), ("b", "praise"): (1, 1), ("b", "complaint"): (1, 1), ("b", "controversy"): (1, 1),
+        ("b", "difference"): (1, 1), ("c", "complaint"): (1, 0), ("c", "research_gap"): (1, 0),
+    }
+    gap = insights.source_gap(members(spark, *rows).filter("topic = 'b'")).first()
     assert (gap.highest, gap.lowest, gap.gap) == ("t", "s", 1.0)
 
 
+def test_insight_caps_and_difference_threshold(spark):
+    rows = [(f"t{i:02}", "s", "positive") for i in range(15)] + [("t14", "s", "positive")]
+    got = insights.insights(members(spark, *rows), max_topics=14, cap=3).collect()
+    assert sorted((r.topic, r["rank"]) for r in got) == [("t00", 2), ("t01", 3), ("t14", 1)]
+    near = [("a", "s", "negative")] * 2 + [("a", "s", "positive")] * 8 + [("a", "t", "negative")] * 4 + [("a", "t", "positive")] * 6
+    assert "difference" not in {r.kind for r in insights.insights(members(spark, *near)).collect()}
+    assert "difference" in {r.kind for r in insights.insights(members(spark, *near, *[("a", "t", "negative")] * 3)).collect()}
+
+
+def test_corpus_gate_and_native_position(spark):
+    cols = "access_scope string, relevance_label string, evidence_kind string, recommended boolean, sentiment string, primary string, secondary array<string>"
+    rows = [("public", "relevant", "review", True, "negative", "a", ["b", "a"]), ("private", "relevant", "review", True, "x", "a", []), ("public", "ambiguous", "post", None, "x", "a", []), ("public", "relevant", "official", None, "x", "a", []), ("public", "relevant", "post", None, "mixed", "a", [])]
+    got = insights.memberships(insights.positioned(insights.corpus(spark.createDataFrame(rows, cols)))).collect()
+    assert sorted((r.topic, r.position, r.method) for r in got) == [("a", "mixed", "inferred_bilingual_lexicon"), ("a", "positive", "source_native_recommendation"), ("b", "positive", "source_native_recommendation")]
+
+
+def test_priority_components(spark):
+    d = dt.datetime
+    rows = [("a", "s", "negative", d(2024, 3, 1)), ("a", "s", "negative", d(2024, 2, 20)), ("a", "t", "positive", d(2024, 1, 20)), ("a", "u", "negative", None)]
+    m = spark.createDataFrame(rows, "topic string, source string, position string, published_at timestamp")
+    r = insights.priorities(m, ["topic"], spark.createDataFrame([("s",), ("t",)], "source string")).first()
+    assert (r.volume_score, r.negative_score, r.momentum, r.momentum_score, r.breadth_score, r.total, r.label) == (3, 3, 1.667, 2, 2, 10, "high")
+
+
+def test_topics_tie_by_first_position_and_match_any_script(spark):
+    rows = [(1, "the quest chapter"), (2, "the chapter quest"), (3, "公会里的音乐，ＧＵＩＬＤ"), (4, "gift packs and a gift pack"), (5, "guilds"), (6, "Музыка и музыка")]
+    got = {r.id: (r.primary, r.hits) for r in annotate.annotate(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert got == {1: ("progression", 1), 2: ("story", 1), 3: ("multiplayer", 2), 4: ("economy", 1), 5: ("unknown", 0), 6: ("audio", 2)}
+
+
+def test_compare_needs_two_sources_for_higher(spark):
+    rows = [("g", "a", "s")] * 6 + [("g", "b", "s")] * 5 + [("g", "b", "t")] + [("h", "a", "s")] * 2
+    got = {(r.subject, r.dimension): r.confidence for r in modes.compare_grid(spark.createDataFrame(rows, "subject string, dimension string, source string")).collect()}
+    assert got == {("g", "a"): "medium", ("g", "b"): "higher", ("h", "a"): "low", ("h", "b"): "insufficient"}
+
+
+def test_fit_counts_any_praise(spark):
+    rows = [("w", "s", "positive")] + [("w", "s", "negative")] * 5 + [("x", "s", "negative"), ("v", "s", "positive"), ("n", "s", "mixed")]
+    got = {r.topic: r.fit for r in modes.preference_fit(members(spark, *rows), ["w", "x", "n"], ["v"]).collect()}
+    assert got == {"w": "likely_match", "x": "possible_friction", "v": "possible_friction", "n": "uncertain"}
+
+
+def test_controversy_sides_are_distinguishable(spark):
+    rows = [("a", f"p{i}", "positive") for i in range(2)] + [("a", f"n{i}", "negative") for i in range(2)] + [("b", f"e{i}", v) for i in range(2) for v in ("positive", "negative")]
+    got = {r.topic: (r.pro, r.con, r.distinguishable) for r in modes.controversies(spark.createDataFrame(rows, "topic string, evidence_id string, position string")).collect()}
+    assert got == {"a": (2, 2, True), "b": (2, 2, False)}
+
+
+def test_status_ladder(spark):
+    one_ = lambda **kw: "{" + ",".join(f'"{k}":{{"status":"{s}","items_retrieved":{n}}}' for k, (s, n) in kw.items()) + "}"
+    runs = spark.createDataFrame([("r1", one_(a=("collected", 1), b=("failed", 0), c=("collected", 2), d=("unavailable", 0), e=("collected", 0))), ("r2", one_(b=("collected", 3), c=("partial", 0), d=("unavailable", 0), e=("unavailable", 0))), ("r3", None)], "run_id string, source_status string")
+    got = {r.source: r.state for r in modes.status_rollup(runs, ["a", "z"]).collect()}
+    assert got == {"a": "collected", "b": "partial", "c": "partial", "d": "unavailable", "e": "failed", "z": "disabled"}
+
+
+def test_momentum_counts_both_windows(spark):
+    d = dt.datetime
+    rows = [("t", "s", d(2024, 3, 1), True)] * 4 + [("t", "s", d(2024, 1, 20), False)] + [("u", "s", d(2024, 1, 20), False)] * 3
+    got = {r.topic: (r.momentum, r.momentum_score) for r in summaries.topic_priority(spark.createDataFrame(rows, "k string, s string, at timestamp, bad boolean"), "k", "s", "at", F.col("bad")).collect()}
+    assert got["t"] == (round(1.005 / 0.255, 4), 3) and got["u"][1] == 0 and got["u"][0] is not None
+
+
+def test_only_mature_cohorts_count(spark):
+    users = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 20))], "user int, signup date")
+    end = spark.createDataFrame([(dt.date(2024, 2, 1),)], "end date")
+    assert [r.user for r in telemetry.mature(users, "signup", end, 30).collect()] == [1]
+
+
 def test_unavailable_source_is_visible(spark):
     ev = spark.createDataFrame([("a", "relevant"), ("b", "ambiguous")], "source string, label string")
     st = spark.createDataFrame([("a", "collected", 9), ("z", "unavailable", 0)], "source string, status string, retrieved long")
