@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -80,6 +81,22 @@ def normalise(x: pd.Series) -> pd.Series:
     return x.map(lambda t: "" if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
+@F.pandas_udf(StringType())
+def word_form(x: pd.Series) -> pd.Series:
+    """Compatibility form, case-folded, runs of other characters than words to one blank, '' for null: what phrases are matched in (F-4; Python)."""
+    return x.map(lambda t: "" if t is None else _NO_WORD.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip())
+
+
+_NO_WORD = re.compile(r"[^\w㐀-鿿]+")
+
+
+def phrase_in(text: Column, phrase: Column) -> Column:
+    """contains_phrase for a phrase that is a column; both in word form. An empty phrase is in nothing."""
+    dense = F.contains(F.replace(text, F.lit(" "), F.lit("")), F.replace(phrase, F.lit(" "), F.lit("")))
+    spaced = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
+    return (phrase != "") & F.when(phrase.rlike(CJK), dense).otherwise(spaced)
+
+
 def is_word(term: str) -> bool:
     return term.isascii() and term.isalnum()
 

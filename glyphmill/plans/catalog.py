@@ -444,6 +444,43 @@ def precision_recall(spark, sf):
     return R.precision_recall(b.withColumn("truth", F.when(F.col("relevance_score") >= 0.5, "relevant").otherwise("other")), "relevance_label", "truth")
 
 
+_GAME_WORDS, _ABSENT = ["guild raid", "公会副本", "boss", "quest"], ["salt candles", "盐烛"]
+
+
+def entities(spark, sf):
+    """The games as entities, their franchises as scoped aliases and the first words of their titles as safe ones."""
+    g = load(spark, sf, "games")
+    e = g.select("game_id", F.array_compact(F.concat(F.array("canonical_title", "original_title"), F.coalesce(F.map_values("localized_titles"), F.array().cast("array<string>")))).alias("titles"), F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("developers", "publishers")]).alias("companies"), "external_ids")
+    alias = lambda text, name, safe: g.select(F.concat(F.lit(name), "game_id").alias("alias_id"), "game_id", text.alias("text"), F.lit("low" if safe else "high").alias("ambiguity"), F.lit("validated" if safe else "scoped_only").alias("status"), F.lit(True).alias("search_enabled"), F.lit(safe).alias("standalone_safe"))
+    return R.entity_table(e, alias(F.col("franchise"), "f_", False).unionByName(alias(F.split("canonical_title", " ")[0], "w_", True)).filter("text is not null"))
+
+
+def word_form(x: str) -> str:
+    """SQL of text.word_form, as far as characters with a form of several characters do not matter."""
+    return f"trim(regexp_replace(lower(replace(nfc_normalize(translate(coalesce({x},''),'{_FROM}','{_TO}')),'ß','ss')),'[^\\p{{L}}\\p{{N}}_]+',' ','g'))"
+
+
+_in = lambda p, x="norm": f"({p}<>'' and case when regexp_matches({p},'[㐀-鿿]') then contains(replace({x},' ',''),replace({p},' ','')) else contains(' '||{x}||' ',' '||{p}||' ') end)"
+_count_in = lambda words_: "(" + "+".join(f"{_in(quoted([w]))}::int" for w in words_) + ")"
+
+
+@query(f"""with t as (select game_id, unnest(list_concat([canonical_title, original_title], coalesce(map_values(localized_titles),[]))) x from games), tt as (select game_id, list_distinct(list({word_form('x')})) titles from t where x is not null group by 1),
+c as (select game_id, unnest(list_concat(coalesce(developers,[]), coalesce(publishers,[]))) x from games), cc as (select game_id, list_distinct(list({word_form('x')})) companies from c group by 1),
+a as (select game_id, 'f_'||game_id alias_id, {word_form('franchise')} w, false safe from games where franchise is not null union all select game_id, 'w_'||game_id, {word_form("split_part(canonical_title,' ',1)")}, true from games where canonical_title is not null),
+d as (select doc_id, d.game_id, g.game_id known, {word_form("concat_ws(' ',title,text)")} norm, coalesce(titles,[]) titles, coalesce(companies,[]) companies from documents d left join games g using(game_id) left join tt using(game_id) left join cc using(game_id)),
+al as (select doc_id, list_sort(list(alias_id)) ids, bool_or(safe) safe_hit from d join a on d.game_id=a.game_id where {_in('w')} and not list_contains(titles, w) group by 1),
+h as (select d.doc_id, d.game_id, known, len(list_filter(titles, lambda p: {_in('p')}))>0 t, len(list_filter(companies, lambda p: {_in('p')}))>0 c, coalesce(ids,[]) ids, coalesce(safe_hit,false) s, {_count_in(_GAME_WORDS)} k, {_count_in(R.CONTEXT_CUES)} q, {_count_in(_ABSENT)} r from d left join al using(doc_id)),
+e as (select *, len(ids)>0 al, case when known is null then 0.0::double else {d("greatest(0.0,least(1.0,(case when t then 0.78 else 0 end)+(case when s then 0.55 when len(ids)>0 then 0.2 else 0 end)+(case when c then 0.3 else 0 end)+least(k*0.45,0.675)+(case when len(ids)>0 and q>=2 then 0.15 else 0 end)-(case when r>0 then 0.85 else 0 end)))")} end score from h),
+u as (select *, al and not s and not (t or c or k>0) un from e)
+select doc_id, game_id, score, case when known is null or (r>0 and score<0.7) then 'irrelevant' when score>=0.7 and not un then 'relevant' when score>=0.25 or al or t then 'ambiguous' else 'irrelevant' end "label", array_to_string(ids,',') alias_ids,
+ case when known is null then 'game_id_mismatch' else concat_ws(',', case when t then 'official_title_match' end, case when s then 'safe_alias_match' end, case when al and not s then 'scoped_alias_match' end, case when c then 'developer_publisher_match' end, case when k>0 then 'game_term_match' end, case when r>0 then 'competing_entity_match' end, case when un then 'ambiguous_alias_only' end) end signals from u""")
+def relevance_by_entity(spark, sf):
+    """Documents against the game they name, with titles, aliases and companies as a joined table."""
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "game_id", "source", "title", "text", F.lit(None).cast("map<string,string>").alias("native"), F.lit(None).cast("string").alias("query_game_id"))
+    got = R.relevance_to_entity(rows, entities(spark, sf), _GAME_WORDS, _ABSENT)
+    return got.select(F.col("id").alias("doc_id"), "game_id", "score", "label", F.array_join("alias_ids", ",").alias("alias_ids"), F.array_join("signals", ",").alias("signals"))
+
+
 # --- insights ---------------------------------------------------------------------------------------------------------------------
 _STATUS = [("bilibili", "collected", None), ("steam", "partial", 10), ("mastodon", "unavailable", 0)]
 
