@@ -8,14 +8,15 @@ trained in numpy on a bounded sample of labelled texts, once on all of it and on
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import compat, load, ship, spread
+from .common import IGNORABLE, compat, load, ship, spread
 
 LANGS = ["de", "en", "es", "fr", "ja", "ko", "ru", "zh"]
 # Other spellings of the codes.
@@ -42,6 +43,13 @@ def label(tag: str | None) -> str | None:
     return None if t in MISSING else ALIASES.get(t, t)
 
 
+def label_of(x: Column) -> Column:
+    """label() as an expression."""
+    t = F.split(F.lower(F.trim(F.coalesce(x, F.lit("")))), "[-_]")[0]
+    alias = F.create_map(*[F.lit(v) for kv in ALIASES.items() for v in kv])
+    return F.when(~t.isin(MISSING), F.coalesce(alias[t], t))
+
+
 def parts(text: str | None) -> list[str]:
     t = _NOISE.sub(" ", compat_lines(text).lower())
     return [m.group() for c in _CUT.split(t) for m in _RUN.finditer(c)]
@@ -166,9 +174,45 @@ def train(samples: list[tuple[str, str]]) -> ByteCNN:
     return net
 
 
-def classify(net: ByteCNN, texts: list[str | None]) -> list[list[tuple[str, str, float, int]]]:
+_CLUSTER = re.compile(r".[\u0300-\u036f\u1161-\u11ff\u3099\u309a]*", re.S)
+
+
+def placed_parts(text: str | None) -> list[tuple[str, int, int]]:
+    """The parts of a text with start and end in its code points; characters are levelled one cluster at a time, so each keeps its place."""
+    out, where, ends = [], [], []
+    for m in _CLUSTER.finditer(text or ""):
+        for c in unicodedata.normalize("NFKC", "".join(x for x in m.group() if ord(x) not in IGNORABLE)):
+            out.append(c.lower()[:1])
+            where.append(m.start())
+            ends.append(m.end())
+    t = _NOISE.sub(lambda m: " " * len(m.group()), "".join(out))
+    got, at = [], 0
+    for m in [*_CUT.finditer(t), None]:
+        stop = m.start() if m else len(t)
+        got += [(r.group(), where[r.start()], ends[r.end() - 1]) for r in _RUN.finditer(t, at, stop)]
+        at = m.end() if m else at
+    return got
+
+
+def segments(net: ByteCNN, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, language, confidence) of the stretches of every text, neighbours of one language joined."""
+    placed = [placed_parts(t) for t in texts]
+    out = []
+    for spans, found in zip(placed, classify(net, texts, [[p for p, _, _ in x] for x in placed])):
+        got: list[list] = []
+        for (_, a, z), (_, lang, conf, n) in zip(spans, found):
+            if got and got[-1][2] == lang:
+                last = got[-1]
+                last[1], last[3], last[4] = z, (last[3] * last[4] + conf * n) / max(1, last[4] + n), last[4] + n
+            else:
+                got.append([a, z, lang, conf, n])
+        out.append([tuple(g[:4]) for g in got])
+    return out
+
+
+def classify(net: ByteCNN, texts: list[str | None], cut: list[list[str]] | None = None) -> list[list[tuple[str, str, float, int]]]:
     """For each text its parts as (part, language, confidence, letters), in order."""
-    cut = [parts(t) for t in texts]
+    cut = [parts(t) for t in texts] if cut is None else cut
     flat = [p for c in cut for p in c]
     if not flat:
         return [[] for _ in texts]
@@ -221,18 +265,16 @@ def held(found: list[tuple[str, str, float, int]]) -> dict[str, tuple[float, int
 
 def sample(df: DataFrame, text: str, lang: str, size: int = SAMPLE) -> list[tuple[str, str]]:
     """At most size labelled texts of each language, those of smallest hash; counted and cut without a sort of all rows."""
-    code = F.udf(label, "string")
-    tags = df.groupBy(lang).count().withColumn("code", code(lang)).filter(F.col("code").isin(LANGS)).collect()
+    tags = df.groupBy(lang).count().withColumn("code", label_of(F.col(lang))).filter(F.col("code").isin(LANGS)).groupBy("code").agg(F.sum("count").alias("count")).collect()
     total: dict[str, int] = {}
     for t in tags:
         total[t["code"]] = total.get(t["code"], 0) + t["count"]
     out = []
     if not tags:
         return out
-    share = F.create_map(*[x for t in tags for x in (F.lit(t[0]), F.lit(min(1.0, 3.0 * size / total[t["code"]])))])
-    of = F.create_map(*[x for t in tags for x in (F.lit(t[0]), F.lit(t["code"]))])
+    share = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(min(1.0, 3.0 * size / n)))])
     h = F.pmod(F.xxhash64(text), F.lit(1 << 30))
-    rows = df.filter(F.col(lang).isNotNull() & (F.char_length(text) >= LONG)).select(F.col(text).alias("t"), of[F.col(lang)].alias("l"), h.alias("h"), share[F.col(lang)].alias("s"))
+    rows = df.filter(F.col(lang).isNotNull() & (F.char_length(text) >= LONG)).select(F.col(text).alias("t"), label_of(F.col(lang)).alias("l"), h.alias("h")).withColumn("s", share[F.col("l")])
     got = rows.filter("l is not null and h < s * 1073741824").select("t", "l", "h").toPandas().sort_values(["h", "t"])
     for code_, g in got.groupby("l", sort=True):
         out += list(zip(g["t"].drop_duplicates().head(size), [code_] * size))
@@ -263,10 +305,36 @@ def detect(df: DataFrame, key: str = "evidence_id", text: str = "original_text",
     return spread(rows).mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, label string, lang string, confidence double, letters long, parts array<string>")
 
 
-def _run(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
+def detect_segments(df: DataFrame, key: str = "evidence_id", text: str = "original_text", lang: str = "language", labelled: list[tuple[str, str]] = ()) -> DataFrame:
+    """id, segment, start_pos, end_pos, lang, confidence: one row for each stretch of a text in one language, in order from 0.
+
+    Positions are code points, end exclusive. Texts without letters (null, empty, signs only) give no row; whole texts are read; repeated
+    rows give repeated results; other columns of df are ignored; an empty table gives no row.
+    """
+    ship()
+    net = df.sparkSession.sparkContext.broadcast(train([*labelled, *sample(df, text, lang)]))
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, k, *x) for i, found in zip(b["id"], segments(net.value, list(b["text"]))) for k, x in enumerate(found)]
+            yield pd.DataFrame(out, columns=["id", "segment", "start_pos", "end_pos", "lang", "confidence"])
+
+    return spread(rows).mapInPandas(task, f"id {rows.schema['id'].dataType.simpleString()}, segment int, start_pos int, end_pos int, lang string, confidence double")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     known = load(spark, sf_dir, "moderation_samples").filter("text is not null and lang is not null").select("text", "lang").orderBy("sample_id").limit(1000)
+    return [(t, label(k)) for t, k in known.collect()]
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_segments(load(spark, sf_dir, "bilibili"), labelled=_known(spark, sf_dir)).withColumnRenamed("id", "evidence_id")
+
+
+def _run(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
     df = load(spark, sf_dir, "bilibili")
-    return detect(df.filter(F.char_length("original_text") >= LONG) if long else df, labelled=[(t, label(k)) for t, k in known.collect()])
+    return detect(df.filter(F.char_length("original_text") >= LONG) if long else df, labelled=_known(spark, sf_dir))
 
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

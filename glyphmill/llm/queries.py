@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .encoding import p7_ids
 from .history import p3_found
-from .language import p5_found, p5_languages
+from .language import p5_found, p5_languages, p5_segments
 from .leakage import p8_found
 from .lookalike import p6_forms, p6_found
 from .moderation import p1_found, p1_rates, p1_scores
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_languages": p5_languages,
+    "p5_segments": p5_segments,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p7_ids": p7_ids,

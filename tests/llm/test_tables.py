@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import unicodedata
 
 import pytest
 from glyphmill.llm import common, encoding, history, language, leakage, lookalike, moderation, near, near_copies, personal, queries, sentences
@@ -181,6 +182,19 @@ def test_language_table(df):
     assert found - {("m", None, "zh"), ("m", None, "ko")} == {("n", "zh", None), ("e", None, None), ("k1", "ko", "ko")} and len(found) > 3
 
 
+def test_language_segments_keep_their_place(df):
+    zh, ko = "教学关在鲸砚港收尾的时候体验提升很多", "솔직히 토한광산 이벤트 상점이 품절이래요"
+    rows = [(f"z{i}", zh[i % 9 :] + zh[: 9 + i], "zh-CN") for i in range(30)] + [(f"k{i}", ko[i % 7 :] + ko[: 9 + i], "kor") for i in range(30)]
+    mixed = f"😂 {zh}。\u200b{unicodedata.normalize('NFD', ko)}!"
+    got = language.detect_segments(df([*rows, ("m", mixed, None), ("n", None, "zh"), ("e", "😂 12", "")], "evidence_id string, original_text string, language string")).filter("id in ('m', 'n', 'e')").orderBy("segment").collect()
+    assert [(r.lang, unicodedata.normalize("NFC", mixed[r.start_pos : r.end_pos]).strip("\u200b")) for r in got] == [("zh", zh), ("ko", ko)] and all(r.id == "m" and 0 < r.confidence <= 1 for r in got)
+
+
+def test_labels_as_an_expression(df):
+    tags = ["zh-CN", " ENG ", "und", None, "", "Korean", "pt_BR", "jp", "x-zh"]
+    assert [r.x for r in df([(t,) for t in tags], "t string").select(language.label_of(F.col("t")).alias("x")).collect()] == [language.label(t) for t in tags]
+
+
 def test_moderated_table(df):
     rows = [("a", "you worthless moron", 1.0), ("b", None, 0.0), ("c", "", 0.0), ("d", "nice map", 0.0)] + [(f"n{i}", f"nice map number {i}", 0.0) for i in range(200)]
     got = {r.id: r for r in moderation.moderate(df(rows, "evidence_id string, original_text string, score double"), [("nice map", False), ("you moron", True)] * 20).collect()}
