@@ -184,7 +184,7 @@ def test_language_table(df):
 
 def test_language_segments_keep_their_place(df):
     zh, ko = "教学关在鲸砚港收尾的时候体验提升很多", "솔직히 토한광산 이벤트 상점이 품절이래요"
-    rows = [(f"z{i}", zh[i % 9 :] + zh[: 9 + i], "zh-CN") for i in range(30)] + [(f"k{i}", ko[i % 7 :] + ko[: 9 + i], "kor") for i in range(30)]
+    rows = [(f"z{i}", zh[i % 9 :] + zh[: 9 + i % 9] + str(i), "zh-CN") for i in range(250)] + [(f"k{i}", ko[i % 7 :] + ko[: 9 + i % 9] + str(i), "kor") for i in range(250)]
     mixed = f"😂 {zh}。\u200b{unicodedata.normalize('NFD', ko)}!"
     got = language.detect_segments(df([*rows, ("m", mixed, None), ("n", None, "zh"), ("e", "😂 12", "")], "evidence_id string, original_text string, language string")).filter("id in ('m', 'n', 'e')").orderBy("segment").collect()
     assert [(r.lang, unicodedata.normalize("NFC", mixed[r.start_pos : r.end_pos]).strip("\u200b")) for r in got] == [("zh", zh), ("ko", ko)] and all(r.id == "m" and 0 < r.confidence <= 1 for r in got)
