@@ -194,3 +194,59 @@ def has_cjk(x: Column) -> Column:
 def ordered_rank(x: Column, order: list[str]) -> Column:
     """Position of an enum value in its order, null if unknown (F-38)."""
     return F.when(F.array_position(F.array(*map(F.lit, order)), x) > 0, F.array_position(F.array(*map(F.lit, order)), x))
+
+
+def alias_key(x: Column) -> Column:
+    """Compatibility form, case-folded, without anything but letters and digits (F-2)."""
+    return F.regexp_replace(normalise(x), r"(?U)[\W_]+", "")
+
+
+def letter_bound_count(text: Column, term: str) -> Column:
+    """Occurrences bounded by letters only, so that digits may adjoin (F-9b)."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![a-z]){term}(?![a-z])"))
+
+
+def storage_amount(x: Column) -> Column:
+    """Gigabytes that a requirements text asks for: a named amount, else one before 'available space' or 'storage' (F-16)."""
+    t = F.lower(F.coalesce(x, F.lit("")))
+    named, bare = r"(?:storage|hard drive|disk space)\s*:\s*(\d+(?:\.\d+)?)\s*(gb|mb|tb)", r"(\d+(?:\.\d+)?)\s*(gb|mb|tb)\s*(?:available space|storage)"
+    pick = lambda n: F.coalesce(F.nullif(F.regexp_extract(t, named, n), F.lit("")), F.nullif(F.regexp_extract(t, bare, n), F.lit("")))
+    return pick(1).cast("double") * F.when(pick(2) == "tb", 1024.0).when(pick(2) == "mb", 1 / 1024).otherwise(1.0)
+
+
+def listed(x: Column) -> Column:
+    """Comma-separated names without stars and blanks (F-17)."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda t: F.trim(F.replace(t, F.lit("*"), F.lit("")))), lambda t: t != "")
+
+
+def weight(x: Column) -> Column:
+    """1 + log1p of a count, of which what is no number or negative counts as 0 (F-20)."""
+    return 1 + F.log1p(F.greatest(F.lit(0.0), F.coalesce(x.try_cast("double"), F.lit(0.0))))
+
+
+def pseudonym(source: Column, author: Column) -> Column:
+    """16 digits of the hash of source:author, null for a blank author."""
+    a = F.trim(author)
+    return F.when(F.length(a) > 0, F.substring(F.sha2(F.concat_ws(":", source, a), 256), 1, 16))
+
+
+def utc_time(x: Column) -> Column:
+    """ISO text or epoch seconds to a time; null where neither (F-25)."""
+    return F.coalesce(F.timestamp_seconds(F.when(x.rlike(r"^\d{9,10}$"), x.try_cast("long"))), F.try_to_timestamp(x))
+
+
+def percent(x: Column, n: int = 1) -> Column:
+    return F.concat(F.format_number(100 * x, n), F.lit("%"))
+
+
+# Hours named in Chinese.
+HOURS = {"半": 0.5, "一": 1.0, "一个": 1.0, "两": 2.0, "二": 2.0, "三": 3.0, "四": 4.0}
+
+
+def minutes(x: Column) -> Column:
+    """Minutes that a text names, by hours in Chinese, then minutes, then hours in English; null if none (F-36)."""
+    t = F.lower(F.coalesce(x, F.lit("")))
+    get = lambda rx: F.nullif(F.regexp_extract(t, rx, 1), F.lit(""))
+    zh, short, long = get(r"(\d+(?:\.\d+)?|半|一个|一|两|二|三|四)\s*(?:个)?小时"), get(r"(\d+)\s*(?:分钟|minutes?|mins?)"), get(r"(\d+(?:\.\d+)?)\s*(?:hours?|hrs?)")
+    named = F.create_map(*[F.lit(v) for kv in HOURS.items() for v in kv])
+    return F.coalesce(F.floor(60 * F.coalesce(named[zh], zh.try_cast("double"))), short.try_cast("bigint"), F.floor(60 * long.try_cast("double")))

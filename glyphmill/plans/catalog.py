@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import annotate as A
+from ..operators import corpus as C
 from ..operators import facts as K
 from ..operators import insights as I
 from ..operators import modes as M
 from ..operators import planning as P
 from ..operators import relevance as R
+from ..operators import resolve as Z
+from ..operators import rows as V
 from ..operators import store as U
 from ..operators import summaries as S
 from ..operators import telemetry as Y
@@ -654,3 +657,126 @@ def status_rollup(spark, sf):
     return M.status_rollup(load(spark, sf, "runs"), ["mastodon", "steam"])
 
 
+
+
+# --- rows and corpus --------------------------------------------------------------------------------------------------------------
+@query("""select substr(sha256(concat_ws(':',source,source_content_id)),1,20) record_id, source, case when source='steam' then 'store_review' else 'video_comment' end source_type, g.canonical_title game, coalesce(source_metadata.bvid, source) channel,
+ evidence_kind content_type, source_content_id, regexp_replace(parent_evidence_id,'^ev_','') parent_id, title, source_url url, language, epoch_us(coalesce(published_at,retrieved_at)) created_us, original_text "text", recommended, rating,
+ coalesce(engagement.likes,0)::double engagement_score, reply_count, playtime_hours from bilibili left join games g using(game_id)""")
+def voice_rows(spark, sf):
+    b = load(spark, sf, "bilibili").join(load(spark, sf, "games").select("game_id", F.col("canonical_title").alias("game_title")), "game_id", "left")
+    return V.to_voice_rows(b, F.col("game_title")).withColumn("created_us", F.unix_micros(F.col("created_at").cast("timestamp"))).drop("created_at", "collected_at", "metadata_json")
+
+
+@query("""with v as (select substr(sha256(concat_ws(':',source,doc_id::varchar)),1,20) record_id, source, doc_kind content_type, 'community_export' source_type, coalesce(game_id,'') game, doc_id::varchar cid, title, url, lang, text from documents where text is not null and trim(text)<>'')
+select 'ev_'||record_id evidence_id, concat_ws('_','game',case when trim(regexp_replace(lower(game),'[^a-z0-9]+','-','g'),'-')='' then 'unknown' else substr(trim(regexp_replace(lower(game),'[^a-z0-9]+','-','g'),'-'),1,48) end, substr(sha256(lower(game)),1,8)) game_id,
+ case when contains(lower(content_type),'review') then 'review' when contains(lower(content_type),'comment') then 'comment' when contains(lower(content_type),'post') then 'post' when contains(lower(content_type),'video') then 'video' else 'post' end evidence_kind,
+ 'public' access_scope, source, cid source_content_id, cast(null as varchar) parent_evidence_id, url source_url, case when url is null then source||':'||cid end source_reference, title, text original_text, lang "language", 'run_import' run_id, 'public_endpoint' retrieval_method,
+ 'pending' relevance_label, case when source='steam' then 'platform_store' else 'public_community' end source_class, sha256(text) content_checksum from v""")
+def evidence_rows(spark, sf):
+    d_, null = load(spark, sf, "documents").filter("text is not null and trim(text) <> ''"), F.lit(None).cast("string")
+    v = d_.select(F.substring(F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string")), 256), 1, 20).alias("record_id"), "source", F.col("doc_kind").alias("content_type"), F.lit("community_export").alias("source_type"), F.coalesce("game_id", F.lit("")).alias("game"), null.alias("channel"), F.col("doc_id").cast("string").alias("source_content_id"), null.alias("parent_id"), "title", "url", F.col("lang").alias("language"), "text")
+    return V.to_evidence(v, "run_import")
+
+
+@query("""select evidence_id, game_id, source, source_content_id, title, original_text, source_url, query_id, relevance_score, relevance_label, array_to_string(relevance_reasons,'|') relevance_reasons, relevance_method_version, coalesce(len(matched_alias_ids),0) aliases from bilibili where relevance_label='ambiguous'""")
+def review_rows(spark, sf):
+    q = V.review_queue(load(spark, sf, "bilibili"))
+    return q.withColumn("relevance_reasons", F.array_join("relevance_reasons", "|")).withColumn("aliases", F.col("query_provenance.aliases").cast("long")).drop("query_provenance")
+
+
+@query("""select evidence_id, run_id, case when length(trim(source_metadata.anonymised_author_id))>0 then substr(sha256(source||':'||trim(source_metadata.anonymised_author_id)),1,16) end author_key, 'ev_'||substr(sha256(concat_ws(':',source,source_content_id)),1,20) stable from bilibili""")
+def author_keys(spark, sf):
+    return V.authors(load(spark, sf, "bilibili"), F.col("source_metadata.anonymised_author_id")).select("evidence_id", "run_id", "author_key", "stable")
+
+
+@query("""select case when evidence_kind='fact_source' then 'official' else source end source, count(*) items, cast(sum((relevance_label='relevant')::int) as bigint) relevant, cast(sum((relevance_label='ambiguous')::int) as bigint) ambiguous, cast(sum((relevance_label='irrelevant')::int) as bigint) irrelevant,
+ count(*)-count(distinct (source, source_content_id)) duplicates from evidence group by 1""")
+def source_counts(spark, sf):
+    return C.source_counts(load(spark, sf, "evidence"))
+
+
+@query(f"select access_scope, relevance_label, count(*) items from evidence where evidence_kind in ({quoted(I.COMMUNITY_KINDS)}) group by 1,2")
+def label_counts(spark, sf):
+    return C.label_counts(load(spark, sf, "evidence"))
+
+
+@query("""select dataset_id, owner_scope, count(*) as "rows" from evidence where access_scope='private' and (dataset_id, owner_scope) not in (select dataset_id, owner_scope from (select dataset_id, owner_scope, min(ingest_seq) s from evidence where access_scope='private' group by 1,2) where s<1000) group by 1,2""")
+def unregistered_datasets(spark, sf):
+    """Private rows whose dataset and owner are not registered; registered are those that came first."""
+    p = load(spark, sf, "evidence").filter("access_scope = 'private'")
+    registered = p.groupBy("dataset_id", "owner_scope").agg(F.min("ingest_seq").alias("s")).filter("s < 1000")
+    return C.missing_from(p, registered, ["dataset_id", "owner_scope"])
+
+
+@query("""with q as (select evidence_id, query_id, min(intent) intent from evidence_query_links group by 1,2) select b.evidence_id, b.run_id, b.query_id, coalesce(intent, 'unlinked:'||retrieval_method, 'unlinked') provenance from bilibili b left join q on b.evidence_id=q.evidence_id and b.query_id=q.query_id""")
+def query_provenance(spark, sf):
+    return C.with_query(load(spark, sf, "bilibili"), load(spark, sf, "evidence_query_links")).select("evidence_id", "run_id", "query_id", "provenance")
+
+
+@query("""with i as (select distinct evidence_id id from evidence_query_links union select game_id from games) select id, case when id in (select evidence_id from evidence) then 'community' else 'fact' end layer from i""")
+def id_layers(spark, sf):
+    ids = load(spark, sf, "evidence_query_links").select(F.col("evidence_id").alias("id")).union(load(spark, sf, "games").select("game_id")).distinct()
+    return C.layers(ids, load(spark, sf, "evidence"))
+
+
+@query(MEMBERS + """select game_id, count(distinct evidence_id) items, array_to_string(list_sort(list(distinct source)),',') sources, min(published_at at time zone 'UTC')::date first_day, max(published_at at time zone 'UTC')::date last_day, 0::bigint extension_topics from mem group by 1""")
+def game_coverage(spark, sf):
+    return C.game_coverage(members(spark, sf).withColumn("language", F.lit(None).cast("string"))).drop("languages")
+
+
+_COMPARED = "(select game_id from games order by game_id limit 3)"  # the three games of the comparison, which is its feature
+
+
+@query(MEMBERS + f""", p as (select topic, game_id, count(*) n, array_to_string(list_sort(list(distinct source)),',') mix, max(published_at) e from mem where game_id in {_COMPARED} group by 1,2),
+g as (select topic, count(*) games, min(n) lo, max(n) most, count(distinct mix) mixes, count(e) dated, floor((epoch_us(max(e))-epoch_us(min(e)))/86400000000.0) gap from p group by 1),
+h as (select *, concat_ws('; ', case when mixes>1 then 'source mix' end, case when dated=games and gap>180 then 'dates' end, case when most/lo>4 then 'sample sizes' end) r, case when games<3 then 0 else lo end as "least" from g),
+k as (select *, case when "least"<3 then 'insufficient_evidence' when r<>'' then 'comparable_with_caution' else 'comparable' end status from h) select topic, games, "least", most, status, case when status='comparable_with_caution' then r else '' end reasons from k""")
+def comparison_status(spark, sf):
+    games = [r[0] for r in load(spark, sf, "games").select("game_id").orderBy("game_id").limit(3).collect()]
+    return C.comparison_status(members(spark, sf), games)
+
+
+@query("""with f as (select game_id, 'franchise' fact_type from games where franchise is not null and trim(franchise)<>'' union all select game_id, 'genre' from (select game_id, unnest(genres) x from games) where x is not null union all select game_id, 'platform' from (select game_id, unnest(platforms) x from games) where x is not null)
+select fact_type, count(distinct game_id) available, count(*) as "values", (select count(distinct game_id) from games) entities, case when count(distinct game_id)=(select count(distinct game_id) from games) then 'comparable' else 'partial' end status from f group by 1""")
+def fact_status(spark, sf):
+    g = load(spark, sf, "games")
+    many = lambda c, name: g.select(F.col("game_id").alias("entity"), F.lit(name).alias("fact_type"), F.explode(c).alias("value"))
+    f = g.select(F.col("game_id").alias("entity"), F.lit("franchise").alias("fact_type"), F.col("franchise").alias("value")).unionByName(many("genres", "genre")).unionByName(many("platforms", "platform"))
+    return C.fact_status(f.filter("value is not null and trim(value) <> ''"), g.select(F.col("game_id").alias("entity")))
+
+
+@query("""with r as (select p_brand, p_partkey, row_number() over(partition by p_brand order by p_retailprice desc, p_partkey)-1 rk, p_size from part), t as (select * from r where rk<10),
+g as (select p_brand, min(case when p_size>=25 then rk end) rk, sum(case when not p_size>=25 and rk<5 then 1 else 0 end) c, min(case when p_size>=25 then p_partkey end) item from t group by 1)
+select p_brand, item, cast(rk as int) "rank", cast(c as bigint) competitors, case when c=0 then 'none' when length(p_brand)<=3 then 'high' else 'medium' end ambiguity from g where rk is not null""")
+def result_ranks(spark, sf):
+    return C.result_ranks(load(spark, sf, "part"), "p_brand", F.col("p_partkey"), [F.desc("p_retailprice"), F.col("p_partkey")], F.col("p_size") >= 25, F.length("p_brand"))
+
+
+@query("""select game_id, arg_min(query_id, ingest_seq) filter (query_id is not null) query_id, arg_min(source_url, ingest_seq) filter (source_url is not null) source_url from evidence group by 1""")
+def first_values(spark, sf):
+    return C.first_values(load(spark, sf, "evidence"), ["game_id"], "ingest_seq", ["query_id", "source_url"])
+
+
+_HOURS = " ".join(f"when '{k}' then {v}" for k, v in T.HOURS.items())
+
+
+@query(rf"""with t as (select evidence_id, run_id, lower(coalesce(original_text,'')) t, reply_count from bilibili),
+m as (select *, nullif(regexp_extract(t,'(\d+(?:\.\d+)?|半|一个|一|两|二|三|四)\s*(?:个)?小时',1),'') z, nullif(regexp_extract(t,'(\d+)\s*(?:分钟|minutes?|mins?)',1),'') s, nullif(regexp_extract(t,'(\d+(?:\.\d+)?)\s*(?:hours?|hrs?)',1),'') l from t)
+select evidence_id, run_id, cast(coalesce(floor(60*coalesce(case z {_HOURS} end, try_cast(z as double))), try_cast(s as bigint), floor(60*try_cast(l as double))) as bigint) "minutes", cast(round(cast(1+ln(1+greatest(0,coalesce(reply_count,0))) as decimal(18,6)),4) as double) "weight" from m""")
+def minutes_and_weights(spark, sf):
+    b = load(spark, sf, "bilibili")
+    return b.select("evidence_id", "run_id", T.minutes(F.col("original_text")).cast("bigint").alias("minutes"), T.rnd(T.weight(F.col("reply_count")), 4).alias("weight"))
+
+
+def candidate_assessment(spark, sf):
+    """Every game against the title of the first one. The similarity of matching blocks has no SQL; tested against difflib."""
+    g = load(spark, sf, "games")
+    title = g.orderBy("game_id").select("canonical_title").first()[0]
+    none = F.array().cast("array<string>")
+    titles = F.array_compact(F.concat(F.array("canonical_title", "original_title"), F.coalesce(F.map_values("localized_titles"), none)))
+    c = g.select("game_id", F.lit("catalog").alias("provider"), titles.alias("titles"), F.coalesce(F.map_keys("localized_titles"), none).alias("locales"), "developers", "publishers", "platforms", "external_ids")
+    return Z.assess(c, title)
+
+
+WITHOUT_ORACLE["candidate_assessment"] = candidate_assessment

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lenient_bool, nullify
+from ..functions.text import cell, lenient_bool, nullify
 from ..operators.store import violations
 from .schemas import RULES, VOICE_ROW
 
@@ -110,3 +112,82 @@ def flat_csv(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as JSON text, so that any table can be written as CSV (K7, K8)."""
     nested = ("array", "map", "struct")
     return df.select(*[F.to_json(c).alias(c) if k.startswith(nested) else F.col(c) for c, k in df.dtypes])
+
+
+def read_csv_tables(spark: SparkSession, folder: str, schemas: dict[str, str]) -> None:
+    """CSV files of a folder as temporary views of their names (S2); a file with a header and a given schema, none is inferred."""
+    for name, schema in schemas.items():
+        spark.read.option("header", True).schema(schema).csv(f"{folder}/{name}.csv").createOrReplaceTempView(name)
+
+
+def run_sql(spark: SparkSession, text: str) -> DataFrame:
+    """The last statement of an SQL text over registered views (S3); comments and a closing semicolon are allowed."""
+    statements = [x for x in "\n".join(line.split("--")[0] for line in text.splitlines()).split(";") if x.strip()]
+    for x in statements[:-1]:
+        spark.sql(x)
+    return spark.sql(statements[-1])
+
+
+def read_taxonomy(path: str) -> dict[str, list[str]]:
+    """Topics and their terms from a JSON configuration {topic: [terms]}, checked: no empty topic, no term of two topics."""
+    with open(path, encoding="utf-8") as f:
+        topics = json.load(f)
+    seen: dict[str, str] = {}
+    for topic, terms in topics.items():
+        if not topic or not isinstance(terms, list) or not terms or not all(isinstance(t, str) and t.strip() for t in terms):
+            raise ValueError(f"topic {topic!r} needs a list of terms")
+        for t in map(str.casefold, terms):
+            if seen.setdefault(t, topic) != topic:
+                raise ValueError(f"term {t!r} is in {seen[t]!r} and {topic!r}")
+    return {k: [t.casefold() for t in v] for k, v in topics.items()}
+
+
+def write_ordered_json(df: DataFrame, path: str, key: str) -> None:
+    """JSON lines in the order of key over all files (K5, K6)."""
+    df.orderBy(key).write.mode("error").json(path)
+
+
+def write_table_csv(df: DataFrame, path: str) -> None:
+    """Any table as CSV with a header, nested values as JSON text (K7, K8)."""
+    flat_csv(df).write.mode("error").option("header", True).option("escape", '"').csv(path)
+
+
+def write_manifest(spark: SparkSession, path: str, run_id: str, counts: dict[str, int], status: dict[str, str]) -> None:
+    """One row for a run, appended (K9): rows by table and state by source."""
+    spark.createDataFrame([(run_id, counts, status)], "run_id string, counts map<string,long>, status map<string,string>").coalesce(1).write.mode("append").json(path)
+
+
+def latest_manifest(spark: SparkSession, path: str) -> dict:
+    """The row of the greatest run id."""
+    r = spark.read.schema("run_id string, counts map<string,long>, status map<string,string>").json(path).orderBy(F.desc("run_id")).first()
+    return r.asDict() if r else {}
+
+
+def check_manifest(manifest: dict, tables: dict[str, DataFrame]) -> list[str]:
+    """Tables whose number of rows is not what the manifest says, by name."""
+    return sorted(name for name, df in tables.items() if df.count() != manifest["counts"].get(name))
+
+
+def markdown(title: str, df: DataFrame, width: int = 120) -> str:
+    """A small result as a Markdown report (K10): a heading, the number of rows, a table with escaped and shortened cells."""
+    names = df.columns
+    rows = flat_csv(df).select(*[cell(F.coalesce(F.col(c).cast("string"), F.lit("")), width).alias(c) for c in names]).collect()
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([f"# {title}", "", f"{len(rows)} rows", "", line(names), line(["---"] * len(names)), *[line(r) for r in rows], ""])
+
+
+def schema_json(df: DataFrame) -> str:
+    """The schema of a table as JSON."""
+    return df.schema.json()
+
+
+# What each source can do, for plans and reports.
+CAPABILITIES = [
+    ("bilibili", "none", "page", True), ("steam", "none", "cursor", True), ("reddit", "oauth", "after", True), ("youtube", "key", "token", True), ("weibo", "license", "none", True), ("xiaohongshu", "license", "none", True),
+    ("douyin", "license", "none", True), ("community_export", "none", "none", True), ("official", "none", "none", False), ("discord", "restricted", "none", False), ("qq", "restricted", "none", False),
+]
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    """source, auth, pagination, available: sources that are not available always answer so and give no rows."""
+    return spark.createDataFrame(CAPABILITIES, "source string, auth string, pagination string, available boolean")

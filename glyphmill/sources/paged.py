@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,16 +22,57 @@ def exclusion(item: dict) -> str | None:
     return {"[deleted]": "deleted", "[removed]": "removed"}.get(text.lower())
 
 
-def pages(fetch: Callable[[str, str | None], tuple[list[dict], str | None]], plan: str, most: int = MAX_PAGES) -> Iterator[tuple[int, dict]]:
-    """Items of a plan page by page until there is no cursor, it comes again or most pages are read."""
-    cursor, seen = None, set()
-    for page in range(most):
-        items, cursor = fetch(plan, cursor)
-        for item in items:
-            yield page, item
-        if cursor is None or cursor in seen:
-            return
+class SourceUnavailable(Exception):
+    """Raised by a fetch whose source cannot be read; code tells why."""
+
+    def __init__(self, reason: str, code: str = "unavailable"):
+        super().__init__(reason)
+        self.code = code
+
+
+@dataclass
+class PlanRun:
+    """How a plan's page loop ended: collected, partial, unavailable or failed, why, and what was left out."""
+
+    status: str = "collected"
+    error_code: str | None = None
+    pages: int = 0
+    items: int = 0
+    excluded: dict[str, int] = field(default_factory=dict)
+
+
+def pages(fetch: Callable[[str, str | None], tuple[list[dict], str | None]], plan: str, most: int = MAX_PAGES, run: PlanRun | None = None) -> Iterator[tuple[int, dict]]:
+    """Items of a plan page by page until there is no cursor; run tells how it ended.
+
+    A cursor that comes again, a page limit that is met with pages left, and an error after some items make the run partial; an error
+    before any item makes it unavailable or failed. Nothing ends without a status.
+    """
+    run, cursor, seen = run or PlanRun(), None, set()
+
+    def stop(status: str, code: str) -> None:
+        run.status, run.error_code = "partial" if run.items else status, code
+
+    while run.pages < most:
+        if cursor in seen:
+            return stop("failed", "cursor_cycle")
         seen.add(cursor)
+        try:
+            items, cursor = fetch(plan, cursor)
+        except SourceUnavailable as e:
+            return stop("unavailable", e.code)
+        except (OSError, ValueError) as e:
+            return stop("failed", type(e).__name__)
+        for item in items:
+            if why := exclusion(item):
+                run.excluded[why] = run.excluded.get(why, 0) + 1
+            else:
+                run.items += 1
+            yield run.pages, item
+        run.pages += 1
+        if not cursor:
+            return None
+    run.status, run.error_code = "partial", "page_limit"
+    return None
 
 
 class FixturePages(DataSource):
@@ -48,8 +90,8 @@ class FixturePages(DataSource):
 
 
 class FixtureReader(DataSourceReader):
-    def __init__(self, plans: dict, most: int):
-        self.plans, self.most = plans, most
+    def __init__(self, plans: dict, most: int, status: bool = False):
+        self.plans, self.most, self.status = plans, most, status
 
     def partitions(self):
         return [InputPartition(p) for p in sorted(self.plans)]
@@ -62,5 +104,23 @@ class FixtureReader(DataSourceReader):
             at = int(cursor or 0)
             return book[at] if at < len(book) else [], str(at + 1) if at + 1 < len(book) else None
 
-        for page, item in pages(fetch, plan, self.most):
-            yield plan, page, str(item.get("id") or ""), json.dumps(item, ensure_ascii=False, sort_keys=True), exclusion(item)
+        run = PlanRun()
+        for page, item in pages(fetch, plan, self.most, run):
+            if not self.status:
+                yield plan, page, str(item.get("id") or ""), json.dumps(item, ensure_ascii=False, sort_keys=True), exclusion(item)
+        if self.status:
+            yield plan, run.status, run.error_code, run.pages, run.items, run.excluded
+
+
+class FixtureStatus(FixturePages):
+    """One row for each plan of the same source: how its loop ended and how many items were left out by reason."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fixture_status"
+
+    def schema(self) -> str:
+        return "plan_id string, status string, error_code string, pages int, items int, excluded map<string,int>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FixtureReader(json.loads(self.options["pages"]), int(self.options.get("maxPages", MAX_PAGES)), True)

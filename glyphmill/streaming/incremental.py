@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import upsert
@@ -16,11 +15,15 @@ class UpsertTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "identity_key", order: str = "ingest_seq"):
         self.spark, self.path, self.schema, self.key, self.order = spark, path, schema, key, order
-        os.makedirs(path, exist_ok=True)
 
     def version(self) -> int:
-        mark = f"{self.path}/CURRENT"
-        return int(open(mark).read()) if os.path.exists(mark) else -1
+        """The last version that is named; versions are rows of a table, so any file system that Spark writes to will do."""
+        try:
+            return self.spark.read.schema("version long").json(f"{self.path}/versions").agg(F.max("version")).first()[0]
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return -1
+            raise
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -29,12 +32,8 @@ class UpsertTable:
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.version():
             return
-        target = f"{self.path}/v{batch_id}"
-        shutil.rmtree(target, ignore_errors=True)
-        upsert(self.read(), batch, self.order, self.key).write.parquet(target)
-        with open(f"{self.path}/CURRENT.new", "w") as f:
-            f.write(str(batch_id))
-        os.replace(f"{self.path}/CURRENT.new", f"{self.path}/CURRENT")
+        upsert(self.read(), batch, self.order, self.key).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+        self.spark.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("append").json(f"{self.path}/versions")
 
     def stream(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
         return rows.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from glyphmill.functions import text as T
-from glyphmill.operators import annotate, facts, insights, modes, planning, relevance, store, summaries, telemetry
+from glyphmill.operators import annotate, corpus, facts, insights, modes, planning, relevance, resolve, rows, store, summaries, telemetry
 from pyspark.sql import functions as F
 
 
@@ -182,3 +182,64 @@ def test_momentum_and_empty(spark):
     r = summaries.anchored_momentum(rows, "k", "at").first()
     assert (r["items"], r.recent, r.prior, r.momentum) == (4, 2, 1, 1.667)
     assert summaries.anchored_momentum(rows.limit(0), "k", "at").count() == 0
+
+
+def test_small_text_functions(spark):
+    assert [one(spark, T.minutes(F.col("a")), a=x) for x in ("每天半小时", "一个小时", "2.5小时", "45 minutes", "1.5 hrs", "1 小时 5 mins", "none", "四 个小时")] == [30, 60, 150, 45, 90, 60, None, 240]
+    assert [one(spark, T.storage_amount(F.col("a")), a=x) for x in ("Storage: 50 GB", "512 MB available space", "Memory: 8 GB", "Hard Drive : 1.5 TB")] == [50.0, 0.5, None, 1536.0]
+    assert one(spark, T.listed(F.col("a")), a="English*, French , ,German**") == ["English", "French", "German"]
+    assert [round(one(spark, T.weight(F.col("a")), a=x), 4) for x in ("0", "x", "-3", "1")] == [1.0, 1.0, 1.0, 1.6931]
+    assert one(spark, T.alias_key(F.col("a")), a=" Ｇame_ of: Straße! 2") == "gameofstrasse2"
+    assert one(spark, T.letter_bound_count(F.col("a"), "fps"), a="60fps fpsx fps2") == 2
+    assert one(spark, T.percent(F.lit(0.1234)), a="x") == "12.3%" and one(spark, F.unix_timestamp(T.utc_time(F.col("a"))), a="1700000000") == 1700000000
+    assert one(spark, T.pseudonym(F.lit("s"), F.col("a")), a="  ") is None
+
+
+def test_relevance_to_entity(spark):
+    games = spark.createDataFrame([("g1", ["Moon Shards", "月之碎片"], ["Pale Forge"], {"steam_app_id": "7", "reddit_id": "r"}), ("g2", ["Other"], None, None)], "game_id string, titles array<string>, companies array<string>, external_ids map<string,string>")
+    cols = "alias_id string, game_id string, text string, ambiguity string, status string, search_enabled boolean, standalone_safe boolean"
+    aliases = [("a1", "g1", "moonies", "low", "validated", True, True), ("a2", "g1", "ms", "high", "scoped_only", True, False), ("a3", "g1", "Moon shards!", "low", "validated", True, True), ("a4", "g1", "off", "low", "validated", False, True), ("a5", "g1", "wait", "low", "pending", True, True)]
+    e = relevance.entity_table(games, spark.createDataFrame(aliases, cols))
+    rows_ = [
+        (1, "g1", "steam", None, "anything", {"app_id": "7"}, None), (2, "g1", "steam", None, "moon shards", {"app_id": "8"}, None), (3, "g1", "x", "ＭＯＯＮ shards", None, None, None), (4, "g1", "x", None, "ms is fun", None, None),
+        (5, "g1", "x", None, "moonies patch server", None, "g1"), (6, "g1", "x", None, "月之 碎片 and salt candles", None, None), (7, "g1", "x", None, "by Pale Forge", None, None), (8, "g9", "x", None, "moon shards", None, None),
+        (9, "g1", "x", None, None, None, None), (10, None, "x", None, "moon shards", None, None), (11, "g2", "x", None, "off wait ms", None, None), (12, "g1", "x", None, "off wait", None, None), (13, "g1", "reddit", None, "x", {"reddit_id": "r"}, None),
+        (14, "g1", "x", None, "raid and quest and boss", None, None),
+    ]
+    df = spark.createDataFrame(rows_, "id int, game_id string, source string, title string, text string, native map<string,string>, query_game_id string")
+    got = {r.id: (r.label, r.score, r.alias_ids) for r in relevance.relevance_to_entity(df, e, ["raid", "quest", "boss"], ["salt candles"]).collect()}
+    assert got == {
+        1: ("relevant", 0.99, []), 2: ("irrelevant", 0.0, []), 3: ("relevant", 0.78, []), 4: ("ambiguous", 0.2, ["a2"]), 5: ("relevant", 0.75, ["a1"]), 6: ("irrelevant", 0.0, []), 7: ("ambiguous", 0.3, []), 8: ("irrelevant", 0.0, []),
+        9: ("irrelevant", 0.0, []), 10: ("irrelevant", 0.0, []), 11: ("irrelevant", 0.0, []), 12: ("irrelevant", 0.0, []), 13: ("relevant", 0.99, []), 14: ("ambiguous", 0.675, []),
+    }
+    assert relevance.method_version(["b", "a"], []) == relevance.method_version(["a", "b"], []) != relevance.method_version(["a"], [])
+
+
+def test_assessment_of_candidates(spark):
+    from difflib import SequenceMatcher
+
+    c = "game_id string, provider string, titles array<string>, locales array<string>, developers array<string>, publishers array<string>, platforms array<string>, external_ids map<string,string>"
+    data = [("g1", "p", ["Moon Shards"], ["en-US"], ["Pale"], None, ["PC"], {"steam": "7"}), ("g1", "q", ["月"], ["zh"], None, ["Pub"], None, None), ("g2", "p", ["Moon Shard"], None, None, None, None, None)]
+    got = {r.game_id: r for r in resolve.assess(spark.createDataFrame(data, c), "moon-shards", "en", {"steam": "7"}, "PALE", None, "Switch").collect()}
+    assert got["g1"].exact and got["g1"].score == round(0.5 + 0.06 + 0.12 + 0.06 + 0.14 + 0.08 + 0.02, 4) and got["g1"].providers == 2
+    sim = SequenceMatcher(None, "moonshards", "moonshard").ratio()
+    assert not got["g2"].exact and got["g2"].score == round(0.25 * sim + 0.06, 4)
+
+
+def test_comparison_needs_like_samples(spark):
+    d = dt.datetime
+    rows_ = [(t, g, s, at) for t, g, n, s, at in [("a", "g", 3, "s", d(2024, 1, 1)), ("a", "h", 3, "s", d(2024, 2, 1)), ("b", "g", 3, "s", d(2023, 1, 1)), ("b", "h", 13, "t", d(2024, 1, 1)), ("c", "g", 9, "s", None), ("d", "g", 2, "s", None), ("d", "h", 5, "s", None)] for _ in range(n)]
+    got = {r.topic: (r.status, r.reasons) for r in corpus.comparison_status(spark.createDataFrame(rows_, "topic string, game_id string, source string, published_at timestamp"), ["g", "h"]).collect()}
+    assert got == {"a": ("comparable", ""), "b": ("comparable_with_caution", "source mix; dates; sample sizes"), "c": ("insufficient_evidence", ""), "d": ("insufficient_evidence", "")}
+
+
+def test_guards_and_kinds(spark):
+    left, right = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), spark.createDataFrame([("a", 9)], "k string, w int")
+    assert [tuple(r) for r in corpus.missing_from(left, right, ["k"]).collect()] == [("b", 1)]
+    try:
+        corpus.require_all(left, right, ["k"])
+        raise AssertionError
+    except ValueError as e:
+        assert "b" in str(e)
+    kinds = spark.createDataFrame([("Video_Comment", None), (None, "store_review"), ("clip", "video"), (None, None)], "a string, b string")
+    assert [r.k for r in kinds.select(rows.evidence_kind(F.col("a"), F.col("b")).alias("k")).collect()] == ["comment", "review", "video", "post"]

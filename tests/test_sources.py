@@ -49,6 +49,66 @@ def test_pages_stop_on_cycles():
     assert len(got) == 2
 
 
+def test_page_loops_end_with_a_status():
+    def run(fetch, **how):
+        r = paged.PlanRun()
+        list(paged.pages(fetch, "p", run=r, **how))
+        return r.status, r.error_code, r.pages, r.items
+
+    def fails(error, after):
+        def fetch(_, cursor):
+            if int(cursor or 0) >= after:
+                raise error
+            return [{"id": 1, "text": "a"}, {"id": 2, "text": ""}], str(int(cursor or 0) + 1)
+
+        return fetch
+
+    more = lambda _, c: ([{"id": 1, "text": "a"}], str(int(c or 0) + 1))
+    assert run(more, most=3) == ("partial", "page_limit", 3, 3)
+    assert run(lambda *_: ([], "same")) == ("failed", "cursor_cycle", 2, 0)
+    assert run(lambda *_: ([{"id": 1, "text": "a"}], None)) == ("collected", None, 1, 1)
+    assert run(fails(paged.SourceUnavailable("no", "license"), 0)) == ("unavailable", "license", 0, 0)
+    assert run(fails(paged.SourceUnavailable("no", "quota"), 1)) == ("partial", "quota", 1, 1)
+    assert run(fails(ValueError("x"), 0)) == ("failed", "ValueError", 0, 0)
+
+
+def test_status_of_paged_source(spark):
+    spark.dataSource.register(paged.FixtureStatus)
+    book = {"q1": [[{"id": 1, "text": "a"}, {"id": 2, "text": " "}], [{"id": 3, "text": "[deleted]"}]], "q2": [[{"text": "x"}]]}
+    got = {r.plan_id: (r.status, r.error_code, r.pages, r["items"], r.excluded) for r in spark.read.format("fixture_status").option("pages", json.dumps(book)).option("maxPages", 1).load().collect()}
+    assert got == {"q1": ("partial", "page_limit", 1, 1, {"empty_text": 1}), "q2": ("collected", None, 1, 0, {"missing_id": 1})}
+
+
+def test_sql_text_over_csv_tables(spark, tmp_path):
+    (tmp_path / "players.csv").write_text("id,signup\n1,2024-01-01\n2,2024-01-05\n", "utf8")
+    files.read_csv_tables(spark, str(tmp_path), {"players": "id int, signup date"})
+    assert files.run_sql(spark, "-- first\nselect 1;\nselect count(*) n from players where signup > date'2024-01-02'; -- end\n").first().n == 1
+
+
+def test_taxonomy_is_checked(tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"a": ["One", "二"], "b": ["three"]}), "utf8")
+    assert files.read_taxonomy(str(path)) == {"a": ["one", "二"], "b": ["three"]}
+    for bad in ({"a": []}, {"a": "x"}, {"a": ["x"], "b": ["X"]}, {"": ["x"]}):
+        path.write_text(json.dumps(bad), "utf8")
+        with pytest.raises(ValueError):
+            files.read_taxonomy(str(path))
+
+
+def test_sinks_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([("b", [1, 2], "x|y"), ("a", None, None)], "id string, v array<int>, t string")
+    files.write_ordered_json(df, str(tmp_path / "j"), "id")
+    assert [r.id for r in spark.read.json(str(tmp_path / "j")).orderBy("id").collect()] == ["a", "b"]
+    files.write_table_csv(df, str(tmp_path / "c"))
+    assert {r.v for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()} == {"[1,2]", None}
+    files.write_manifest(spark, str(tmp_path / "m"), "r1", {"t": 2}, {"s": "collected"})
+    files.write_manifest(spark, str(tmp_path / "m"), "r2", {"t": 2, "u": 1}, {})
+    last = files.latest_manifest(spark, str(tmp_path / "m"))
+    assert last["run_id"] == "r2" and files.check_manifest(last, {"t": df, "u": df, "w": df}) == ["u", "w"]
+    assert files.markdown("T", df.orderBy("id")).splitlines()[4:] == ["| id | v | t |", "| --- | --- | --- |", "| a |  |  |", "| b | [1,2] | x\\|y |"]
+    assert json.loads(files.schema_json(df))["fields"][0]["name"] == "id" and files.capabilities(spark).filter("not available").count() > 0
+
+
 def test_paged_source(spark):
     spark.dataSource.register(paged.FixturePages)
     book = {"q1": [[{"id": 1, "text": "a"}, {"id": 2, "text": " "}], [{"id": 3, "text": "[deleted]"}]], "q2": [[{"text": "x"}]]}
