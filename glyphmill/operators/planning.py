@@ -46,10 +46,55 @@ def validate_aliases(merged: DataFrame) -> DataFrame:
 
 
 def closest_margin(rows: DataFrame, group: str, score: str, name: str) -> DataFrame:
-    """By group the best candidate, its margin to the runner-up and whether it wins."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), name)
-    r = rows.withColumn("runner_up", F.lead(score).over(w)).withColumn("rank", F.row_number().over(w)).filter("rank = 1")
-    return r.select(group, F.col(name).alias("best"), F.col(score).alias("score"), (F.col(score) - F.coalesce("runner_up", F.lit(0.0))).alias("margin"))
+    """By group the best candidate by (-score, name) and its margin to the runner-up, 0 being the score of none.
+
+    Names are distinct within a group. Two aggregates with map-side combine, so no group is sorted in one task.
+    """
+    best = rows.groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))).alias("b"))
+    best = best.select(group, F.col("b.n").alias("best"), (-F.col("b.s")).alias("score"))
+    rest = rows.join(best.select(group, F.col("best").alias("first")), group).filter(F.col(name) != F.col("first")).groupBy(group).agg(F.max(score).alias("runner_up"))
+    j = best.join(rest, group, "left")
+    return j.select(group, "best", "score", (F.col("score") - F.coalesce("runner_up", F.lit(0.0))).alias("margin"), F.col("runner_up").isNotNull().alias("contested"))
+
+
+def resolution(margins: DataFrame, least: float = 0.7, choice: float = 0.45, safe: float = 0.12) -> DataFrame:
+    """Adds status to rows of closest_margin: resolved with a high score and a safe margin, needs_choice where two are close, else unresolved."""
+    close = F.col("contested") & (F.col("margin") < safe)
+    status = F.when((F.col("score") >= least) & ~close, "resolved").when((F.col("score") >= choice) & close, "needs_choice").otherwise("unresolved")
+    return margins.withColumn("status", status)
+
+
+# The order of alias types.
+ALIAS_TYPES = ["official_title", "localized_title", "abbreviation", "transliteration", "community_nickname", "common_misspelling"]
+
+
+def language_family(x: Column) -> Column:
+    return F.when(F.lower(x).startswith("zh"), "zh").otherwise("en")
+
+
+def usable_aliases(aliases: DataFrame, languages: DataFrame) -> DataFrame:
+    """aliases(game_id, alias_id, key, text, language, alias_type, status, search_enabled, safe, confidence) by languages(language): those that
+    may be searched in it, each key once, in order of safety, type, confidence, key and id, with their slot (V9, O6, W3).
+
+    An alias fits a language of its own family, any if it has none. Both sides are configuration, so the product and the windows are small.
+    """
+    fits = F.col("language").isNull() | (language_family(F.col("language")) == language_family(F.col("for_language")))
+    a = aliases.filter(F.col("search_enabled") & F.col("status").isin("validated", "scoped_only")).join(languages.select(F.col("language").alias("for_language")), how="cross").filter(fits)
+    order = [F.when(F.col("safe"), 0).otherwise(1), F.array_position(F.array(*map(F.lit, ALIAS_TYPES)), F.col("alias_type")), F.desc("confidence"), F.col("key"), F.col("alias_id")]
+    a = a.withColumn("again", F.row_number().over(Window.partitionBy("game_id", "for_language", "key").orderBy(*order))).filter("again = 1").drop("again")
+    return a.withColumn("slot", F.row_number().over(Window.partitionBy("game_id", "for_language").orderBy(*order)))
+
+
+def render_queries(aliases: DataFrame, templates: DataFrame, run_id: str) -> DataFrame:
+    """usable aliases by templates(source, intent, language_family, template with {alias}): the query texts and their ids.
+
+    The id hashes run, source, language, intent and the text in lower case with collapsed blanks, so equal queries get one id.
+    """
+    q = aliases.join(templates, language_family(F.col("for_language")) == F.col("language_family"))
+    q = q.withColumn("query_text", F.trim(F.replace(F.col("template"), F.lit("{alias}"), F.col("text"))))
+    meaning = F.trim(F.regexp_replace(F.lower("query_text"), r"(?U)\s+", " "))
+    key = F.concat_ws("|", F.lit(run_id), "source", "for_language", "intent", meaning)
+    return q.select("game_id", "alias_id", "source", F.col("for_language").alias("language"), "intent", "query_text", F.concat(F.lit("query_"), F.substring(F.sha2(key, 256), 1, 20)).alias("query_id"))
 
 
 def entity_links(candidates: DataFrame, entity: str, ids: str) -> DataFrame:

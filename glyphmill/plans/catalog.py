@@ -583,7 +583,7 @@ def alias_validation(spark, sf):
 @query(f"""with r as (select c_mktsegment, c_name, c_acctbal, lead(c_acctbal) over(partition by c_mktsegment order by c_acctbal desc, c_name) nx, row_number() over(partition by c_mktsegment order by c_acctbal desc, c_name) rn from customer)
 select c_mktsegment, c_name best, c_acctbal score, {d('c_acctbal-coalesce(nx,0)', 2)} margin from r where rn=1""")
 def top_margin(spark, sf):
-    return P.closest_margin(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "c_name").withColumn("margin", T.rnd(F.col("margin"), 2))
+    return P.closest_margin(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "c_name").drop("contested").withColumn("margin", T.rnd(F.col("margin"), 2))
 
 
 @query("""with k as (select distinct c_name, c_nationkey::varchar||':'||(floor(c_acctbal/250))::bigint kk from customer), h as (select kk, min(c_name) head from k group by 1) select distinct head a, c_name b from k join h using(kk) where c_name<>head""")
@@ -780,3 +780,28 @@ def candidate_assessment(spark, sf):
 
 
 WITHOUT_ORACLE["candidate_assessment"] = candidate_assessment
+
+
+@query("""with r as (select c_nationkey, c_name, c_acctbal/10000 s, lead(c_acctbal/10000) over(partition by c_nationkey order by c_acctbal desc, c_name) nx, row_number() over(partition by c_nationkey order by c_acctbal desc, c_name) rn from customer),
+m as (select c_nationkey, c_name best, s, nx, s-coalesce(nx,0) g from r where rn=1) select c_nationkey, best, case when s>=0.7 and not (nx is not null and g<0.12) then 'resolved' when s>=0.45 and nx is not null and g<0.12 then 'needs_choice' else 'unresolved' end status from m""")
+def resolution_status(spark, sf):
+    c = load(spark, sf, "customer").select("c_nationkey", "c_name", (F.col("c_acctbal") / 10000).alias("s"))
+    return P.resolution(P.closest_margin(c, "c_nationkey", "s", "c_name")).select("c_nationkey", "best", "status")
+
+
+_TEMPLATES = [("steam", "reviews", "en", "{alias} review"), ("bilibili", "reviews", "zh", "{alias} 评测"), ("bilibili", "general", "zh", "{alias}"), ("reddit", "general", "en", "{alias}")]
+
+
+@query("""with a as (select game_id, 't_'||game_id alias_id, trim(regexp_replace(lower(canonical_title),'[^\\p{L}\\p{N}]+','','g')) k, canonical_title x, cast(null as varchar) l, 1 ty, true safe from games where canonical_title is not null
+ union all select game_id, 'f_'||game_id, trim(regexp_replace(lower(franchise),'[^\\p{L}\\p{N}]+','','g')), franchise, 'en', 5, false from games where franchise is not null),
+l(lang, fam) as (values ('en','en'),('zh-CN','zh')), c as (select *, row_number() over(partition by game_id, lang, k order by case when safe then 0 else 1 end, ty, k, alias_id) again from a, l where l is null or l=fam),
+t(source, intent, f, tpl) as (values ('steam','reviews','en','{alias} review'),('bilibili','reviews','zh','{alias} 评测'),('bilibili','general','zh','{alias}'),('reddit','general','en','{alias}')),
+q as (select game_id, alias_id, source, lang, intent, trim(replace(tpl,'{alias}',x)) qt from c join t on fam=f where again=1)
+select game_id, alias_id, source, lang as "language", intent, qt query_text, 'query_'||substr(sha256(concat_ws('|','run',source,lang,intent,trim(regexp_replace(lower(qt),'\\s+',' ','g')))),1,20) query_id from q""")
+def rendered_queries(spark, sf):
+    """Titles and franchises of the games as aliases, rendered into the queries of four templates in two languages."""
+    g, none = load(spark, sf, "games"), F.lit(None).cast("string")
+    alias = lambda c, name, lang, kind, safe: g.filter(F.col(c).isNotNull()).select("game_id", F.concat(F.lit(name), "game_id").alias("alias_id"), T.alias_key(F.col(c)).alias("key"), F.col(c).alias("text"), lang.alias("language"), F.lit(kind).alias("alias_type"), F.lit("validated" if safe else "scoped_only").alias("status"), F.lit(True).alias("search_enabled"), F.lit(safe).alias("safe"), F.lit(0.9).alias("confidence"))
+    a = alias("canonical_title", "t_", none, "official_title", True).unionByName(alias("franchise", "f_", F.lit("en"), "community_nickname", False))
+    usable = P.usable_aliases(a, spark.createDataFrame([("en",), ("zh-CN",)], "language string"))
+    return P.render_queries(usable, spark.createDataFrame(_TEMPLATES, "source string, intent string, language_family string, template string"), "run")

@@ -243,3 +243,18 @@ def test_guards_and_kinds(spark):
         assert "b" in str(e)
     kinds = spark.createDataFrame([("Video_Comment", None), (None, "store_review"), ("clip", "video"), (None, None)], "a string, b string")
     assert [r.k for r in kinds.select(rows.evidence_kind(F.col("a"), F.col("b")).alias("k")).collect()] == ["comment", "review", "video", "post"]
+
+
+def test_resolution_needs_score_and_margin(spark):
+    rows_ = [("a", "x", 0.8), ("a", "y", 0.5), ("b", "x", 0.8), ("b", "y", 0.75), ("c", "x", 0.5), ("d", "x", 0.9), ("e", "x", 0.3), ("e", "y", 0.3)]
+    got = {r.g: (r.best, round(r.margin, 4), r.status) for r in planning.resolution(planning.closest_margin(spark.createDataFrame(rows_, "g string, n string, s double"), "g", "s", "n")).collect()}
+    assert got == {"a": ("x", 0.3, "resolved"), "b": ("x", 0.05, "needs_choice"), "c": ("x", 0.5, "unresolved"), "d": ("x", 0.9, "resolved"), "e": ("x", 0.0, "unresolved")}
+
+
+def test_usable_aliases_and_queries(spark):
+    cols = "game_id string, alias_id string, key string, text string, language string, alias_type string, status string, search_enabled boolean, safe boolean, confidence double"
+    a = [("g", "1", "k", "K", None, "abbreviation", "validated", True, True, 0.5), ("g", "2", "k", "k!", "en", "official_title", "scoped_only", True, True, 0.5), ("g", "3", "z", "月", "zh-TW", "localized_title", "validated", True, False, 0.9), ("g", "4", "o", "O", None, "official_title", "pending", True, True, 1.0), ("g", "5", "p", "P", None, "official_title", "validated", False, True, 1.0)]
+    u = planning.usable_aliases(spark.createDataFrame(a, cols), spark.createDataFrame([("en",), ("zh-CN",)], "language string"))
+    assert sorted((r.for_language, r.slot, r.alias_id) for r in u.collect()) == [("en", 1, "2"), ("zh-CN", 1, "1"), ("zh-CN", 2, "3")]
+    q = planning.render_queries(u, spark.createDataFrame([("s", "general", "zh", " {alias} 好 "), ("s", "general", "zh", "{alias}  好")], "source string, intent string, language_family string, template string"), "r").collect()
+    assert {r.query_text for r in q} == {"K 好", "K  好", "月 好", "月  好"} and len({r.query_id for r in q}) == 2
