@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +74,22 @@ def status_rollup(runs: DataFrame, sources: list[str] | None = None) -> DataFram
         want = runs.sparkSession.createDataFrame([(s,) for s in sources], "source string")
         g = want.join(g, "source", "full").select("source", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("state", F.lit("disabled")).alias("state"))
     return g
+
+
+def usable_difference(gaps: DataFrame, per_source: DataFrame, least: int = 2) -> DataFrame:
+    """Differences between sources that rest on at least so many items of each of their two sources (V13). per_source(topic, source, n)."""
+    n = lambda side: per_source.select("topic", F.col("source").alias(side), F.col("n").alias(f"{side}_n"))
+    j = gaps.join(n("highest"), ["topic", "highest"]).join(n("lowest"), ["topic", "lowest"])
+    return j.filter((F.col("highest_n") >= least) & (F.col("lowest_n") >= least))
+
+
+def parse_preferences(text: str, topics: dict[str, list[str]], against: list[str], reach: int = 24) -> dict[str, list[str]]:
+    """One person's wish as wanted and avoided topics (D24): a topic is avoided where a word of against stands in the same clause, up to reach
+    characters before one of its terms, else wanted; avoided wins. A driver-side function for a single text."""
+    low, found = " ".join(unicodedata.normalize("NFKC", text or "").casefold().split()), {"wanted": set(), "avoided": set()}
+    for topic, terms in topics.items():
+        for term in terms:
+            for m in re.finditer(re.escape(term), low):
+                clause = re.split(r"[,.;!?，。；！？]|\bbut\b|但", low[max(0, m.start() - reach) : m.start()])[-1]
+                found["avoided" if any(w in clause for w in against) else "wanted"].add(topic)
+    return {"wanted": sorted(found["wanted"] - found["avoided"]), "avoided": sorted(found["avoided"])}

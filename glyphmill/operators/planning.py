@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tag_key
+
 
 def query_matrix(a: DataFrame, b: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
     """Small configuration tables combined, the first cap rows of each group (J17, W4). Both sides are configuration, not data."""
@@ -102,3 +104,12 @@ def entity_links(candidates: DataFrame, entity: str, ids: str) -> DataFrame:
     e = candidates.select(F.col(entity).alias("e"), F.explode(F.map_entries(ids)).alias("x")).select("e", F.concat_ws(":", "x.key", "x.value").alias("k")).distinct()
     head = e.groupBy("k").agg(F.min("e").alias("head"))
     return e.join(head, "k").filter("e != head").select(F.col("head").alias("a"), F.col("e").alias("b")).distinct()
+
+
+def active_topics(entities: DataFrame, triggers: DataFrame) -> DataFrame:
+    """entities(game_id, tags array), triggers(topic, tags array): the extension topics that a shared tag switches on.
+
+    Tags meet in tag_key form. Both sides are exploded and joined on the tag, so nothing is compared pairwise.
+    """
+    tag = lambda df, key: df.select(key, F.explode("tags").alias("t")).select(key, tag_key(F.col("t")).alias("t")).filter("t != ''").distinct()
+    return tag(entities, "game_id").join(tag(triggers, "topic"), "t").select("game_id", "topic").distinct()

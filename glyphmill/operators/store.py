@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,18 @@ def violations(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     counts = rows.agg(*[F.coalesce(F.sum(F.expr(f"CASE WHEN NOT ({p}) THEN 1 ELSE 0 END")), F.lit(0)).alias(k) for k, p in rules.items()])
     pairs = ", ".join(f"'{k}', `{k}`" for k in rules)
     return counts.selectExpr(f"stack({len(rules)}, {pairs}) AS (rule, broken)")
+
+
+def register_datasets(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Private datasets by (dataset_id, owner_scope): attested entries only, the last seq of a key holds (U8)."""
+    every = known.unionByName(new.filter("attested"))
+    rest = [c for c in every.columns if c not in ("dataset_id", "owner_scope")]
+    got = every.groupBy("dataset_id", "owner_scope").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("r"))
+    return got.select("dataset_id", "owner_scope", "r.*").select(*every.columns)
+
+
+def reconcile_evidence(bundles: list[DataFrame]) -> DataFrame:
+    """The evidence of several fact bundles, of a repeated evidence_id the row of the last bundle (U9, X7): one aggregate over their union."""
+    every = reduce(DataFrame.unionByName, [b.withColumn("bundle", F.lit(i)) for i, b in enumerate(bundles)])
+    rest = [c for c in every.columns if c not in ("evidence_id", "bundle")]
+    return every.groupBy("evidence_id").agg(F.max_by(F.struct(*rest), F.col("bundle")).alias("r")).select("evidence_id", "r.*")

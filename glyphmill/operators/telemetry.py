@@ -60,3 +60,15 @@ def funnel(events: DataFrame, user: str, first: Column, then: Column) -> DataFra
     """Users of the first step, those who took the next, conversion with a zero guard (A5, J8): one pass of flags, no join."""
     per = events.groupBy(user).agg(F.max(F.when(first, 1).otherwise(0)).alias("a"), F.max(F.when(then, 1).otherwise(0)).alias("b")).filter("a = 1")
     return per.agg(F.count("*").alias("participants"), F.coalesce(F.sum("b"), F.lit(0)).alias("buyers"), ratio(F.coalesce(F.sum("b"), F.lit(0)), F.count("*"), 5).alias("conversion"))
+
+
+def subset_share(rows: DataFrame, by: list[str], within: Column, subset: Column) -> DataFrame:
+    """By group the rows within a condition, those of them in a subset, and their share, 0 where there are none."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    g = rows.groupBy(*by).agg(n(within).alias("rows"), n(within & subset).alias("matching"))
+    return g.withColumn("share", ratio(F.col("matching"), F.col("rows")))
+
+
+def roll_up(aggregate: DataFrame, by: list[str], counts: list[str]) -> DataFrame:
+    """An aggregate of sums added up over the keys that are left out (A9); it reads the aggregate, not the rows again."""
+    return aggregate.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts])

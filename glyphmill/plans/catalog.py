@@ -805,3 +805,31 @@ def rendered_queries(spark, sf):
     a = alias("canonical_title", "t_", none, "official_title", True).unionByName(alias("franchise", "f_", F.lit("en"), "community_nickname", False))
     usable = P.usable_aliases(a, spark.createDataFrame([("en",), ("zh-CN",)], "language string"))
     return P.render_queries(usable, spark.createDataFrame(_TEMPLATES, "source string, intent string, language_family string, template string"), "run")
+
+
+@query(f"""with y as (select cast(o_orderdate as date) tm, o_orderpriority p, o_orderstatus s from orders), g as (select extract(year from tm)::int "year", p, sum((s<>'P')::int)::bigint as "rows", sum((s='F')::int)::bigint matching from y group by 1,2)
+select "year", p priority, "rows", matching, {d('coalesce(matching::double/nullif("rows",0),0)')} "share" from g union all select "year", 'all', cast(sum("rows") as bigint), cast(sum(matching) as bigint), {d('coalesce(sum(matching)::double/nullif(sum("rows"),0),0)')} from g group by 1""")
+def subset_share(spark, sf):
+    """Finished orders among those not pending by year and priority, and rolled up over the priorities."""
+    o = load(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("priority"), "o_orderstatus")
+    g = Y.subset_share(o, ["year", "priority"], F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")
+    every = Y.roll_up(g, ["year"], ["rows", "matching"]).select("year", F.lit("all").alias("priority"), "rows", "matching", T.ratio(F.col("matching"), F.col("rows")).alias("share"))
+    return g.unionByName(every)
+
+
+_TRIGGERS = [("competition.ranked", ["Shooter", "Fighting", "Sports"]), ("economy.gacha", ["Gacha", "Role-Playing", "RPG"]), ("world.building", ["Simulation", "Strategy", "Survival"])]
+
+
+@query("""with g as (select distinct game_id, trim(regexp_replace(lower(t),'[^a-z0-9㐀-鿿]+','_','g'),'_') t from (select game_id, unnest(genres) t from games)), x(topic, t) as (values """ + ",".join(f"('{k}','{t.lower().replace('-', '_')}')" for k, v in _TRIGGERS for t in v) + """) select distinct game_id, topic from g join x using(t)""")
+def active_topics(spark, sf):
+    g = load(spark, sf, "games").select("game_id", F.col("genres").alias("tags"))
+    return P.active_topics(g, spark.createDataFrame(_TRIGGERS, "topic string, tags array<string>"))
+
+
+@query(MEMBERS + f""", g as (select topic, source, count(*) n, {d('sum(("position"=' + chr(39) + 'negative' + chr(39) + ')::int)::double/count(*)')} as sh from mem group by 1,2),
+r as (select topic, source, n, sh, row_number() over(partition by topic order by sh desc, source) hi, row_number() over(partition by topic order by sh, source) lo from g)
+select a.topic, a.source highest, b.source lowest, a.n highest_n, b.n lowest_n from r a join r b on a.topic=b.topic and a.hi=1 and b.lo=1 where a.source<>b.source and {d('a.sh-b.sh')}>=0.1 and a.n>=2 and b.n>=2""")
+def usable_differences(spark, sf):
+    m = positions(spark, sf)
+    got = M.usable_difference(I.source_gap(m, 0.1), m.groupBy("topic", "source").agg(F.count("*").alias("n")))
+    return got.select("topic", "highest", "lowest", "highest_n", "lowest_n")

@@ -258,3 +258,19 @@ def test_usable_aliases_and_queries(spark):
     assert sorted((r.for_language, r.slot, r.alias_id) for r in u.collect()) == [("en", 1, "2"), ("zh-CN", 1, "1"), ("zh-CN", 2, "3")]
     q = planning.render_queries(u, spark.createDataFrame([("s", "general", "zh", " {alias} 好 "), ("s", "general", "zh", "{alias}  好")], "source string, intent string, language_family string, template string"), "r").collect()
     assert {r.query_text for r in q} == {"K 好", "K  好", "月 好", "月  好"} and len({r.query_id for r in q}) == 2
+
+
+def test_registered_datasets_and_reconciled_evidence(spark):
+    cols = "dataset_id string, owner_scope string, attested boolean, title string, seq int"
+    known, new = spark.createDataFrame([("d", "o", True, "old", 1)], cols), spark.createDataFrame([("d", "o", True, "new", 2), ("d", "p", False, "no", 3), ("e", "o", True, "e", 4)], cols)
+    assert {(r.dataset_id, r.owner_scope, r.title) for r in store.register_datasets(known, new).collect()} == {("d", "o", "new"), ("e", "o", "e")}
+    a, b = spark.createDataFrame([("1", "x"), ("2", "y")], "evidence_id string, v string"), spark.createDataFrame([("2", "z")], "evidence_id string, v string")
+    assert {tuple(r) for r in store.reconcile_evidence([a, b]).collect()} == {("1", "x"), ("2", "z")}
+
+
+def test_preferences_and_topics(spark):
+    topics = {"story": ["story", "剧情"], "economy": ["gacha", "抽卡"], "audio": ["music"]}
+    assert modes.parse_preferences("I love the Story and MUSIC, but I hate gacha. 不喜欢抽卡，剧情好", topics, ["hate", "不喜欢", "avoid"]) == {"wanted": ["audio", "story"], "avoided": ["economy"]}
+    assert modes.parse_preferences("avoid gacha; gacha is ok", topics, ["avoid"]) == {"wanted": [], "avoided": ["economy"]} and modes.parse_preferences(None, topics, []) == {"wanted": [], "avoided": []}
+    e = spark.createDataFrame([("g", ["Role Playing", None]), ("h", None)], "game_id string, tags array<string>")
+    assert [tuple(r) for r in planning.active_topics(e, spark.createDataFrame([("t", ["role-playing", "x"])], "topic string, tags array<string>")).collect()] == [("g", "t")]
