@@ -223,6 +223,14 @@ def test_harm_on_held_out_samples(spark):
     assert sum(right) / len(right) > 0.68 and sum(false) / len(false) < 0.1
 
 
+def test_batched_n_grams_are_those_of_each_text():
+    texts = moderation.tokens_many([*column("bilibili", "original_text")[:400], None, "", "my 祭 my te 整"])
+    words = sorted({g for x in texts[::3] for g in moderation.distinct_grams(x)})
+    at, which = moderation.Grams(words).hits([moderation.numbers(x) for x in texts])
+    assert {(int(i), words[j]) for i, j in zip(at, which)} == {(i, g) for i, x in enumerate(texts) for g in moderation.distinct_grams(x) & set(words)}
+    assert [len(x) for x in moderation.Grams([]).hits([moderation.numbers(x) for x in texts])] == [0, 0]
+
+
 def test_disguised_words_count_as_what_they_stand_for():
     bad = [f"you {a} {b}" for a in ("worthless", "pathetic", "stupid") for b in ("moron", "imbecile", "cretin")] * 2
     good = [f"the {a} {b} of the map" for a in ("old", "new", "north") for b in ("gate", "tower", "bridge")] * 3
