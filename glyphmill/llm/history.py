@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import levelled, load, materialise, release, shared_dir, ship, spread
+from .common import levelled, load, materialise, release, shared_dir, ship, spread, sweep
 from .near import BITS, LONG, SIGN, Hashed, components, cut, keyed_of, linked, sketched
 
 TRAIN_TEXTS = 400  # bound of the sample that the weights are fitted on
@@ -213,7 +213,7 @@ class History:
         mark = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
         marks = F.array(mark(0, F.col("i")), mark(1, F.when(F.col("class").isNotNull(), F.col("e"))))
         mine = found.select("id", "rank", F.explode(F.filter(marks, lambda k: k["key"].isNotNull())).alias("k"))
-        marked = mine.select("id", "rank", "k.*").join(hit, "key").filter("first < rank").select("id", "kind")
+        marked = materialise(mine.select("id", "rank", "k.*").join(hit, "key").filter("first < rank").select("id", "kind"), "marked")
 
         # New texts go into their buckets first, so that the joins below find both sides in place.
         new = found.filter("words is not null").select("class", *SIGN, "size", *BITS, "keys", "words").repartition(self.buckets, "class").dropDuplicates(["class"])
@@ -221,6 +221,10 @@ class History:
         self.put("texts", new, stamp, placed=True)
         texts = self.table("texts", stamp)
         self.put("blocks", keyed_of(texts.filter(F.col("stamp") == stamp)), stamp)
+        slim = materialise(found.filter("class is not null").select("id", "class", "rank"), "classes")  # what is read of the batch from here on
+        for df in (found, now, hit):
+            release(df)
+        sweep(spark)
         keyed = self.table("blocks", stamp).select("key", "class", *SIGN, (F.col("stamp") == stamp).alias("fresh"))
 
         def clusters_with(links: DataFrame) -> DataFrame:
@@ -240,19 +244,22 @@ class History:
         self.put("roots", moved.select(F.col("was").alias("comp"), "root").unionByName(old.join(moved, "was").select("comp", "root")), stamp)
 
         # First runs of the clusters that the batch touches.
-        seen = found.filter("class is not null").groupBy("class").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
+        sweep(spark)
+        seen = slim.groupBy("class").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
         seen = materialise(self.root_of(seen, stamp), "seen")
         lost = self.table("firsts").join(moved.withColumnRenamed("was", "comp"), "comp").select(F.col("root").alias("comp"), "rank")
         self.put("firsts", seen.select(F.col("root").alias("comp"), "rank").unionByName(lost).groupBy("comp").agg(F.min("rank").alias("rank")), stamp, placed=True)
         first = self.table("firsts", stamp).groupBy("comp").agg(F.min("rank").alias("first"))
         near = seen.join(first.withColumnRenamed("comp", "root"), "root").filter("first < last").select("class", "first")
-        copies = found.filter("class is not null").select("id", "class", "rank").join(materialise(near, "near"), "class").filter("first < rank").select("id", F.lit(2).alias("kind"))
+        near = materialise(near, "near")
+        copies = slim.join(near, "class").filter("first < rank").select("id", F.lit(2).alias("kind"))
 
         name = F.element_at(F.array(*map(F.lit, ("identity", "exact", "near"))), F.min("kind") + 1)
         out = materialise(marked.unionByName(copies).groupBy(F.col("id").alias("ingest_seq")).agg(name.alias("kind")), "repeats")
         self.commit([*self.stamps, stamp])
-        for df in (found, now, hit, links, moved, seen, near):
+        for df in (slim, marked, links, merged, moved, seen, near):
             release(df)
+        sweep(spark)
         return out
 
     def rooted(self, links: DataFrame) -> DataFrame:
