@@ -220,10 +220,11 @@ class History:
         new = new.join(self.table("texts").select("class"), "class", "left_anti")
         self.put("texts", new, stamp, placed=True)
         texts = self.table("texts", stamp)
-        self.put("blocks", keyed_of(texts.filter(F.col("stamp") == stamp)), stamp)
         slim = materialise(found.filter("class is not null").select("id", "class", "rank"), "classes")  # what is read of the batch from here on
         for df in (found, now, hit):
             release(df)
+        sweep(spark)  # the sketches and their shuffle are gone before the blocks are shuffled
+        self.put("blocks", keyed_of(texts.filter(F.col("stamp") == stamp)), stamp)
         sweep(spark)
         keyed = self.table("blocks", stamp).select("key", "class", *SIGN, (F.col("stamp") == stamp).alias("fresh"))
 
